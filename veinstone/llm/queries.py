@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm.common import table
+from veinstone.llm.decontamination import decontaminate
 from veinstone.llm.packing import pack
+from veinstone.llm.quality_rules import GRIDS, quality_rules
+from veinstone.llm.secrets import RULES, secret_scan
 from veinstone.llm.token_counts import token_counts
 from veinstone.llm.url_filters import url_filters
 
@@ -20,6 +23,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -33,6 +48,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
@@ -42,7 +60,82 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _URL_CASES = [("example.org/en/1", "example.org", "/en/1", "block"), ("example.org/es/", "example.org", "/es/", "block"), ("com/fr/", "com", "/fr/", "allow"), ("com/de/", "com", "/de/", "block"), ("org/", "org", "/", "allow")]
 _URL_FITS = [(rule, f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))", verdict) for rule, h, p, verdict in _URL_CASES]
 
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _FOLDED.format("coalesce(text, '')") + r", '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+_OP1 = f"""
+    WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item, unnest([array_to_string(w[i:least(i + 9, len(w))], ' ') for i in range(1, greatest(len(w) - 9, 1) + 1)]) AS win, least(len(w), 10) AS n
+        FROM items WHERE len(w) > 0),
+    docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    places AS (
+        SELECT doc_id, n, unnest([{{'pos0': i, 'win': array_to_string(w[i:i + n - 1], ' ')}} for i in range(1, len(w) - n + 2)]) AS p
+        FROM docs, (SELECT DISTINCT n FROM windows)),
+    hits AS (SELECT doc_id, item, p.pos0 AS pos0, windows.n AS n FROM places JOIN windows ON p.win = windows.win AND places.n = windows.n),
+    words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(pos0, pos0 + n)) AS pos FROM (SELECT DISTINCT doc_id, pos0, n FROM hits)) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hits GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+_OP5_MEASURES = {
+    "symbol_share": "n_symbols / greatest(word_chars, 1)", "exclaim_share": "exclaims / greatest(n_words, 1)", "caps_share": "caps / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "mean_word": "word_chars / greatest(n_words, 1)",
+}
+_OP5 = f"""
+    WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+    wins AS (SELECT doc_id, unnest([{{'pos0': i, 'win': array_to_string(w[i:i + 7], ' ')}} for i in range(1, len(w) - 6)]) AS p FROM texts),
+    twice AS (SELECT doc_id, p.pos0 AS pos0 FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, p.win) > 1),
+    repeats AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(pos0, pos0 + 8)) AS pos FROM twice) GROUP BY doc_id),
+    counts AS (
+        SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+               CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+               len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS exclaims, len(regexp_extract_all(text, '\\b[A-Z]{{3,}}')) AS caps
+        FROM texts LEFT JOIN repeats USING (doc_id)),
+    measured AS (SELECT *, {", ".join(f"{m_sql} AS {m}" for m, m_sql in _OP5_MEASURES.items())} FROM counts),
+    good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
+    held AS (SELECT measured.* FROM measured JOIN good USING (doc_id) WHERE lang IS NOT NULL AND n_words > 0),
+    strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
+    level AS (SELECT 0.05 / ({len(GRIDS)} * count(*)) AS d FROM strata),
+    terms AS (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.01) AS BIGINT) + 1)) AS k FROM strata),
+    sums AS (SELECT lang, k, sum(exp(CASE WHEN n = k THEN 0 ELSE (n - k) * ln(0.99) END + lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01))) OVER (PARTITION BY lang ORDER BY k) AS cdf FROM terms),
+    allowed AS (SELECT lang, coalesce(max(k) FILTER (cdf <= d), -1) AS x FROM sums, level GROUP BY lang),
+    grid AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {c}::DOUBLE)" for m, g in GRIDS.items() for c in g)}) t(m, c)),
+    long AS ({" UNION ALL ".join(f"SELECT lang, '{m}' AS m, CAST({m} AS DOUBLE) AS v FROM held" for m in GRIDS)}),
+    tried AS (SELECT lang, m, c, count(*) FILTER (v > c) AS rejected FROM long JOIN grid USING (m) GROUP BY ALL),
+    cuts AS (SELECT lang, m, min(c) AS cut FROM tried JOIN allowed USING (lang) WHERE rejected <= x GROUP BY lang, m),
+    wide AS (SELECT lang, {", ".join(f"max(cut) FILTER (m = '{m}') AS cut_{m}" for m in GRIDS)} FROM cuts GROUP BY lang),
+    verdict AS (SELECT *, {" + ".join(f"coalesce({m} > cut_{m}, false)::INT" for m in GRIDS)} AS cut_rules, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+                FROM measured LEFT JOIN wide USING (lang))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cut_rules, NOT base_failed AND cut_rules = 0 AS kept FROM verdict"""
+
+
+def _op7() -> str:
+    def matches(i: int, kind: str, rx: str, group: int, least: int) -> str:
+        rx = rx.replace("'", "''")
+        return f"""
+        SELECT doc_id, {i} AS o, '{kind}' AS kind, unnest([{{'s': list_sum([length(x) for x in gaps[1:k]]) + coalesce(list_sum([length(x) for x in found[1:k - 1]]), 0), 'n': length(found[k]), 'part': length(part[k])}} for k in range(1, len(found) + 1)]) AS m, {least} AS least
+        FROM (SELECT doc_id, string_split_regex(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS found, regexp_extract_all(text, '{rx}', {group}) AS part FROM texts)"""
+
+    union = " UNION ALL ".join(matches(i, r.kind, r.pattern, r.group, r.least) for i, r in enumerate(RULES))
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    found AS ({union}),
+    spans AS (SELECT doc_id, o, m.s AS s, kind || ':' || CAST(m.s AS BIGINT) || ':' || CAST(m.s + m.n AS BIGINT) AS span FROM found WHERE m.part >= least),
+    per AS (SELECT doc_id, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS b, count(*) FILTER (o = 2) AS c,
+                   string_agg(span, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(span, ',' ORDER BY s, o) AS every
+            FROM spans GROUP BY doc_id)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+    FROM documents LEFT JOIN per USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _OP1,
+    "op5_quality_rules": _OP5,
+    "op7_secret_scan": _op7(),
     "op9_url_filters": f"""
         WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (

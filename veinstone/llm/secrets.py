@@ -1,0 +1,128 @@
+"""Secret scans through a trigram inverted index, in DataFrame functions only.
+
+Each rule's regular expression gives a Boolean query of trigrams. The index holds postings (trigram, document) of those
+trigrams that some query names. Intersecting the postings of a document's trigrams gives the rules that it may
+match, and only those are run on its text. Rules without a mandatory trigram scan all texts.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from veinstone.llm.common import let
+from veinstone.llm.trigrams import ANY, trigram_query
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Matches of ``pattern`` whose ``group`` has at least ``least`` characters. Patterns are of the part that Java and Python share."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 0
+
+
+BASE = (
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("hex", r"[0-9a-f]+", 0, 16),
+)
+MORE = (
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35,}"),
+)
+RULES = BASE + MORE
+MARK = "[SECRET]"
+
+
+def spans_of(text: Column, rule: Rule, order: int) -> Column:
+    """Array of (start, order, end) of a rule's matches, leftmost and not overlapping, in code points.
+
+    Matches and the text between them come from one expression each; starts are sums of their lengths.
+    """
+    size = lambda a: F.transform(a, lambda x: F.char_length(x))
+    found = lambda g: size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)))
+    between = size(F.split(text, rule.pattern, -1))
+    each = F.arrays_zip(between.alias("gap"), found(0).alias("all"), found(rule.group).alias("part"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,order:int,end:int,part:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["at"] + x["gap"]
+        end = at + F.coalesce(x["all"], F.lit(0))
+        one = F.array(F.struct(at.alias("start"), F.lit(order).alias("order"), end.alias("end"), x["part"].alias("part")))
+        return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+
+    return F.transform(F.aggregate(each, start, step)["out"], lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
+
+
+def candidates(prints: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``id, print, rules``: documents (``id, print, text``) with the places of the rules whose query the postings satisfy."""
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY}
+    named = sorted({t for q in queries.values() for term in q for t in term})
+    if not named:
+        return prints.select("id", "print", F.array().cast("array<int>").alias("rules")).limit(0)
+    postings = prints.select("id", "print", F.explode(let(F.lower("text"), lambda t: F.filter(F.array(*map(F.lit, named)), lambda g: F.contains(t, g)))).alias("trigram"))
+    lists = postings.groupBy("id", "print").agg(F.collect_set("trigram").alias("has"))
+    holds = lambda term: reduce(lambda a, b: a & b, (F.array_contains("has", t) for t in sorted(term)))
+    fits = [F.when(reduce(lambda a, b: a | b, (holds(t) for t in sorted(q, key=sorted))), F.lit(i)) for i, q in queries.items()]
+    return lists.select("id", "print", F.array_compact(F.array(*fits)).alias("rules")).filter(F.size("rules") > 0)
+
+
+def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, ``text`` (null: empty), the columns ``keep`` and ``spans``: sorted (start, order, end) of every rule's matches, a row for each row."""
+    base = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("print", F.xxhash64("text"))
+    may = candidates(base.select("id", "print", "text"), rules)
+    both = base.join(may.withColumnsRenamed({"id": "may_id", "print": "may_print"}), F.col("id").eqNullSafe(F.col("may_id")) & (F.col("print") == F.col("may_print")), "left")
+    none = F.array().cast("array<struct<start:int,order:int,end:int>>")
+    made = []
+    for i, rule in enumerate(rules):
+        if trigram_query(rule.pattern) == ANY:
+            # a first look at the text spares most of them the rest
+            quick = F.col("text").rlike(rule.pattern[:-1] + f"{{{rule.least}}}") if rule.pattern.endswith("]+") and rule.least and not rule.group else F.col("text").rlike(rule.pattern)
+            made.append(F.when(quick, spans_of(F.col("text"), rule, i)).otherwise(none))
+        else:
+            made.append(F.when(F.coalesce(F.array_contains("rules", i), F.lit(False)), spans_of(F.col("text"), rule, i)).otherwise(none))
+    return both.select("id", "text", *(f"keep_{c}" for c in keep), F.array_sort(F.concat(*made)).alias("spans")).withColumnsRenamed({f"keep_{c}": c for c in keep})
+
+
+def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, a count of spans for each base rule, ``base_sha256`` and ``spans`` of every row.
+
+    A span is written kind:start:end, in code points with the end exclusive; spans are sorted by start, then by the
+    rules' order, and joined by commas. Null and empty texts have none; their hash is that of the empty string.
+    Repeated rows and null ids give a row each. The other rules only add spans.
+
+    Postings are narrow rows, dealt by document, so that a common trigram makes no large group. Texts move once, in
+    the join of documents and candidate rules.
+    """
+    found = spans(docs, rules, id_col, text_col)
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(kinds, s["order"]), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["order"] < len(BASE))
+    number = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
+    counts = [number(i).alias(f"n_{r.kind}") for i, r in enumerate(rules[: len(BASE)])]
+    return found.select(F.col("id").alias(id_col), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of its texts, overlapping ones as one, replaced by ``MARK``. Columns and their order stay; null texts become empty."""
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = spans(docs, rules, id_col, text_col, rest)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        before = F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(MARK))).otherwise(F.lit(""))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], before).alias("out"))
+
+    cut = let(F.aggregate("spans", start, step), lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))))
+    made = found.select(F.col("id").alias(id_col), *rest, F.when(F.size("spans") == 0, F.col("text")).otherwise(cut).alias(text_col))
+    return made.select(*docs.columns)
