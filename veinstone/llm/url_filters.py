@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 MAX_BYTES, MAX_LENGTHS = 4 << 30, 256
 _FOLD = {c: c + 32 for c in range(65, 91)}
 _open: dict[str, "DigestArray"] = {}
+#: Arrays that an application has sent to its executors.
+_sent: set[tuple[str, str]] = set()
 
 
 class DigestArray:
@@ -115,8 +117,11 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
     no rule. One row for each row, no shuffle; other columns are ignored. The rules are bounded by ``MAX_BYTES``.
     """
     stem, files = build(rules, tempfile.mkdtemp(prefix="rules-"))
-    for file in files:
-        pages.sparkSession.sparkContext.addFile(file)
+    context = pages.sparkSession.sparkContext
+    if (context.applicationId, stem) not in _sent:
+        for file in files:
+            context.addFile(file)
+        _sent.add((context.applicationId, stem))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if stem not in _open:
