@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm.common import table
 from veinstone.llm.decontamination import decontaminate
+from veinstone.llm.language_id import language_id
 from veinstone.llm.packing import pack
 from veinstone.llm.quality_rules import GRIDS, quality_rules
 from veinstone.llm.secrets import RULES, secret_scan
 from veinstone.llm.token_counts import token_counts
 from veinstone.llm.url_filters import url_filters
+from veinstone.llm.warc import round_trip
 
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -35,6 +37,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
+    "op3_language_id": op3_language_id,
+    "op6_warc": op6_warc,
     "op4_token_counts": op4_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
