@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm.common import table
 from veinstone.llm.decontamination import decontaminate
+from veinstone.llm.jaccard_join import jaccard_join
 from veinstone.llm.language_id import language_id
 from veinstone.llm.packing import pack
 from veinstone.llm.quality_rules import GRIDS, quality_rules
@@ -45,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op3_language_id": op3_language_id,
     "op6_warc": op6_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_packing": op10_packing,
@@ -125,6 +131,17 @@ _OP5 = f"""
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cut_rules, NOT base_failed AND cut_rules = 0 AS kept FROM verdict"""
 
 
+_OP8 = """
+    WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:least(i + 4, len(w))], ' ') for i in range(1, greatest(len(w) - 4, 1) + 1)]) AS s FROM texts WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    edges AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
+
+
 def _op7() -> str:
     def matches(i: int, kind: str, rx: str, group: int, least: int) -> str:
         rx = rx.replace("'", "''")
@@ -148,6 +165,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op5_quality_rules": _OP5,
     "op7_secret_scan": _op7(),
+    "op8_jaccard_join": _OP8,
     "op9_url_filters": f"""
         WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         parts AS (
