@@ -96,8 +96,8 @@ def _answers(group: pa.Table) -> pa.Table:
 
 
 def _shared(num: int, den: int):
-    """Of one chunk: node, n and the shared shingles, rare first, of the sets that have one in their prefix."""
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    """Of one chunk: node, n, the shared shingles, rare first, and their number in each class, of the sets that have one in their prefix."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32()))])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -118,7 +118,10 @@ def _shared(num: int, den: int):
         values = pa.array(tokens[order].view(np.int64))
         at = np.flatnonzero(good)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(have[at]))), pa.int32()), values)
-        return pa.Table.from_arrays([pa.array([nodes[16 * i : 16 * i + 16] for i in at], pa.binary()), pa.array(sizes[at], pa.int32()), lists], schema=schema)
+        rank = np.cumsum(good) - 1
+        classes = np.bincount(rank[owners] * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(at) * CLASSES).astype(np.int32)
+        classes = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * CLASSES, pa.int32()), pa.array(classes))
+        return pa.Table.from_arrays([pa.array([nodes[16 * i : 16 * i + 16] for i in at], pa.binary()), pa.array(sizes[at], pa.int32()), lists, classes], schema=schema)
 
     return run
 
@@ -177,8 +180,7 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     n = F.col("n")
     prefix = n - F.expr(f"cast((cast(n as bigint) * {num} + {den - 1}) div {den} as int)") + 1
     short = prefix - (n - F.size("tokens"))
-    classes = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.size(F.filter("tokens", lambda t: F.pmod(t, F.lit(CLASSES)) == c)))
-    heads = sets.select("node", "n", (F.size("tokens") / n).alias("shared"), classes.alias("classes"), F.posexplode(F.slice("tokens", F.lit(1), short)).alias("i", "token"), (n - F.size("tokens")).alias("unshared"))
+    heads = sets.select("node", "n", (F.size("tokens") / n).alias("shared"), "classes", F.posexplode(F.slice("tokens", F.lit(1), short)).alias("i", "token"), (n - F.size("tokens")).alias("unshared"))
     heads = heads.select("token", "node", "n", "shared", "classes", (F.col("unshared") + F.col("i")).alias("place"))
     several = heads.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     heads = materialize(heads.join(several, "token"))
@@ -231,7 +233,7 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, size: int = SIZ
     rows = _rows(docs, id_col, text_col, size, ranges)
     schema = rows.schema
     answered = materialize(rows.groupBy("group").applyInArrow(_answers, schema))
-    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_shared(num, den), "node binary, n int, tokens array<long>")
+    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_shared(num, den), "node binary, n int, tokens array<long>, classes array<int>")
     sets = materialize(sets.dropDuplicates(["node"]))
     labels = links(sets, num, den)
     named = answered.filter(F.col("kind") == DOC).select("id", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

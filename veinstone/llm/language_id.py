@@ -38,11 +38,11 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of words in lower case, with a space around each word, and the text of each; repeated ones repeat."""
     lowered = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(texts))
-    joined = "  ".join(lowered) + "  "
+    joined = "  ".join(["", *lowered]) + " "  # at least one space before and after each text
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _is_letter()[codes]
     codes = np.where(letter, codes, 32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), sizes + 2)
+    owner = np.append(np.repeat(np.arange(len(texts)), sizes + 2), max(len(texts) - 1, 0))
     hashes, owners = [], []
     for n in ORDERS:
         if len(codes) < n:

@@ -72,7 +72,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
     """Counts and measures of whole texts: ``id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and those of ``GRIDS``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"))
-    lines = let(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(F.lit(" \t\n\r\x0b\x0c"), x)) > 0), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    lines = let(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     per_words = let(
         F.array_remove(F.split("text", SPACES), ""),
         lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), repeat_words(w).alias("repeat")),
