@@ -47,14 +47,18 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _hits:
-        for old in _hits.values():
-            old.unpersist()
-        _hits.clear()
+        forget_places()
         docs = star.documents(spark, sf_dir)
         _hits[key] = K.positions(spread(spark, docs), star.terms(spark)).persist(StorageLevel.MEMORY_AND_DISK)
     return _hits[key]
 
 
+def forget_places() -> None:
+    for old in _hits.values():
+        old.unpersist()
+    _hits.clear()
+
+
 def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A table that lies in few files is dealt out to all cores before its texts are split; one in many files stays where it is."""
     n = spark.sparkContext.defaultParallelism
