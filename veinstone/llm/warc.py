@@ -23,6 +23,8 @@ from veinstone.llm.common import materialize, shared_dir
 MAGIC, END = b"WARC/1.", b"\r\n\r\n"
 #: Bytes of a range, most bytes of a record's header, and rows of duplicates up to which they are broadcast (100 bytes each).
 RANGE, MAX_HEADER, BROADCAST_ROWS = 32 << 20, 1 << 16, 500_000
+#: Most tasks that read archives; with more ranges, a task reads several, one after the other.
+MAX_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: How many records or edges go into one batch of results.
 BATCH = 2048
@@ -113,11 +115,17 @@ def range_edges(data: bytes, start: int, end: int, size: int) -> list[tuple[int,
     return sorted(exits.items())
 
 
+def _tasks(files: DataFrame, range_bytes: int) -> int:
+    """A task for each range, up to ``MAX_TASKS``. The number is given, since adaptive execution would merge tasks by their few bytes of names."""
+    n = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0]
+    return int(min(max(n or 1, 1), MAX_TASKS))
+
+
 def reached(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """``path, length, offset``: where the verified chains of the archives below ``path`` enter ranges."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     step = F.lit(range_bytes).cast("long")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start")).repartition("path", "start")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start")).repartition(_tasks(files, range_bytes), "path", "start")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +195,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_
     fields = [("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())]
     schema = pa.schema(fields + [("payload", pa.binary())] * with_payload)
     sql = "path string, offset long, record_type string, record_id string, refers_to_id string, target_uri string, payload_bytes long, payload_digest string, digest_ok boolean" + ", payload binary" * with_payload
-    return reached(spark, path, range_bytes).repartition("path", "offset").mapInArrow(records, sql)
+    starts = reached(spark, path, range_bytes)
+    return starts.repartition(_tasks(starts.dropDuplicates(["path"]), range_bytes), "path", "offset").mapInArrow(records, sql)
 
 
 def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id") -> DataFrame:
