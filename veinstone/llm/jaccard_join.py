@@ -11,8 +11,8 @@ n - ceil(t n) + 1 of each (the prefix). The steps:
    follow the shingle in both) and a suffix filter (sizes of both sets in classes of the hash bound what they share), and are verified once, on
    the whole sets.
 3. Links serve to tell components. So pairs within a component need no look, and groups of copies don't make all
-   their pairs: first a few rounds link the nodes of a posting list to one pivot each, then all pairs whose ends
-   are still in different components are joined.
+   their pairs: first the nodes of a posting list are paired with a few pivots each, then all pairs whose ends are
+   still in different components are joined.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from veinstone.llm.common import materialize
 from veinstone.llm.components import components
 from veinstone.llm.shingles import SIZE, shingle_sets
 
-#: Postings that a task packs at once, bytes of text for a range of hashes, texts that are hashed together (characters), rounds with pivots, classes of the suffix filter.
-CHUNK, RANGE_BYTES, BATCH_CHARS, ROUNDS, CLASSES = 3_000_000, 16_000_000, 1 << 21, 3, 16
+#: Postings that a task packs at once, bytes of text for a range of hashes, texts that are hashed together (characters), pivots of a shingle, classes of the suffix filter.
+CHUNK, RANGE_BYTES, BATCH_CHARS, PIVOTS, CLASSES = 3_000_000, 16_000_000, 1 << 21, 3, 16
 DOC, NODES, POSTINGS = 0, 1, 2
 
 
@@ -194,28 +194,26 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         ends = [F.least("p.node", "q.node").alias("u"), F.greatest("p.node", "q.node").alias("v")]
         return rows.filter(length & (rest >= least) & (classes >= least)).select(*ends).distinct()
 
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
-        rows = heads.withColumn("component", F.col("node")) if labels is None else heads.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn < ROUNDS:
-            rank = F.struct(-F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn)), F.col("node"))
-            pivots = rows.groupBy("token").agg(F.min_by(F.struct("node", "n", "place", "classes", "component"), rank).alias("q"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token", "q")
-            pairs = passing(rows.select("token", F.struct("node", "n", "place", "classes", "component").alias("p")).join(pivots, "token").filter("p.component <> q.component"))
-        else:
-            # all pairs that are still apart have an end outside the component that is most frequent among a shingle's postings
-            most = rows.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("token", "most")
-            rows = materialize(rows.join(most, "token"))
-            p = rows.filter("component <> most").select("token", F.struct("node", "n", "place", "classes", "component").alias("p"))
-            q = rows.select(F.col("token").alias("token_q"), F.struct("node", "n", "place", "classes", "component", "most").alias("q"))
-            apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.most")) | (F.col("p.node") < F.col("q.node")))
-            near = F.lit(den) * F.least("p.n", "q.n") >= F.lit(num) * F.greatest("p.n", "q.n")
-            pairs = passing(p.join(q, (F.col("token") == F.col("token_q")) & apart & near))
-        new = materialize(_verified(pairs, sets, num, den))
-        found = new if found is None else found.union(new)
-        if turn == ROUNDS or not new.isEmpty():
-            labels = materialize(components(found))
-    return labels
+    posting = F.struct("node", "n", "place", "classes", "component")
+    # the node that shares most of its shingles, and those that hashes put first, the same ones for all shingles of a group
+    ranks = [F.struct(-F.col("shared"), F.col("node"))] + [F.struct(F.xxhash64("node", F.lit(i)), F.col("node")) for i in range(1, PIVOTS)]
+    rows = heads.withColumn("component", F.col("node"))
+    pivots = rows.groupBy("token").agg(F.array_distinct(F.array(*(F.min_by(posting, r) for r in ranks))).alias("q")).select("token", F.explode("q").alias("q"))
+    pairs = passing(rows.select("token", posting.alias("p")).join(pivots, "token").filter("p.node <> q.node"))
+    found = materialize(_verified(pairs, sets, num, den))
+    labels = materialize(components(found))
+
+    # all pairs that are still apart have an end outside the component that is most frequent among a shingle's postings
+    rows = heads.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = rows.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("token", "most")
+    rows = materialize(rows.join(most, "token"))
+    p = rows.filter("component <> most").select("token", posting.alias("p"))
+    q = rows.select(F.col("token").alias("token_q"), F.struct("node", "n", "place", "classes", "component", "most").alias("q"))
+    apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.most")) | (F.col("p.node") < F.col("q.node")))
+    near = F.lit(den) * F.least("p.n", "q.n") >= F.lit(num) * F.greatest("p.n", "q.n")
+    pairs = passing(p.join(q, (F.col("token") == F.col("token_q")) & apart & near))
+    more = materialize(_verified(pairs, sets, num, den))
+    return labels if more.isEmpty() else materialize(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
 
 
 def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
