@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Digits and letters of ASCII and everything beyond ASCII make a word, after A-Z became a-z.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
             set_dir = spark.sparkContext.getCheckpointDir()
         base = set_dir
-    return f"{base.rstrip('/')}/veinstone-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/veinstone-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what this driver has written to the shared folder: results that are read later depend on it until then."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            file = spark._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
