@@ -22,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veinstone.llm.common import materialize
 from veinstone.llm.components import components
 from veinstone.llm.shingles import SIZE, shingle_sets
 
-#: Postings that a task packs at once, bytes of text for a range of hashes, texts that are hashed together (characters), pivots of a shingle, classes of the suffix filter.
-CHUNK, RANGE_BYTES, BATCH_CHARS, PIVOTS, CLASSES = 3_000_000, 16_000_000, 1 << 21, 3, 16
+#: Postings that a task packs at once, bytes of text for a range of hashes, texts that are hashed together (characters), pivots of a shingle and of a node, classes of the suffix filter.
+CHUNK, RANGE_BYTES, BATCH_CHARS, PIVOTS, PAIRS, CLASSES = 3_000_000, 16_000_000, 1 << 21, 3, 2, 16
 DOC, NODES, POSTINGS = 0, 1, 2
 
 
@@ -90,7 +91,7 @@ def _answers(group: pa.Table) -> pa.Table:
         if len(at):
             for name in made:
                 made[name].append(None)
-            for name, value in (("kind", POSTINGS), ("group", int(group.column("group")[int(i)].as_py())), ("chunk", int(chunks[i])), ("a", tokens[at].tobytes()), ("b", owners[at].tobytes()), ("c", count[at].tobytes())):
+            for name, value in (("kind", POSTINGS), ("group", int(group.column("group")[int(i)].as_py())), ("chunk", int(chunks[i])), ("a", squeeze(np.diff(tokens[at], prepend=np.uint64(0)))), ("b", squeeze(owners[at])), ("c", squeeze(count[at]))):
                 made[name][-1] = value
     return pa.concat_tables([same, pa.Table.from_pydict(made, schema=group.schema)])
 
@@ -107,8 +108,8 @@ def _shared(num: int, den: int):
             return schema.empty_table()
         own = kinds.index(NODES)
         nodes, sizes = group.column("a")[own].as_py(), np.frombuffer(group.column("b")[own].as_py(), np.int32)
-        read = lambda name, kind: np.concatenate([np.frombuffer(group.column(name)[i].as_py(), kind) for i in rows])
-        tokens, owners, counts = read("a", np.uint64), read("b", np.uint32), read("c", np.uint32)
+        parts = {name: [unsqueeze(group.column(name)[i].as_py(), kind) for i in rows] for name, kind in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32))}
+        tokens, owners, counts = np.concatenate([np.cumsum(p, dtype=np.uint64) for p in parts["a"]]), np.concatenate(parts["b"]), np.concatenate(parts["c"])
         have = np.bincount(owners, minlength=len(sizes))
         prefix = sizes - needed(sizes.astype(np.int64), num, den) + 1
         good = (have > 0) & (sizes - have < prefix)
@@ -185,21 +186,24 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     several = heads.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     heads = materialize(heads.join(several, "token"))
 
-    def passing(rows: DataFrame) -> DataFrame:
-        """Of rows with columns of two postings of one shingle, p and q, the pairs that the filters leave."""
+    def passing(rows: DataFrame, *more: Column) -> DataFrame:
+        """Of rows with columns of two postings of one shingle, p and q, the pairs that the filters leave, a row for each shingle."""
         least = F.expr(f"(cast(p.n + q.n as bigint) * {num} + {num + den - 1}) div {num + den}")  # what similar sets share at least
         length = F.lit(den) * F.least("p.n", "q.n") >= F.lit(num) * F.greatest("p.n", "q.n")
         rest = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
         classes = F.aggregate(F.zip_with("p.classes", "q.classes", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
         ends = [F.least("p.node", "q.node").alias("u"), F.greatest("p.node", "q.node").alias("v")]
-        return rows.filter(length & (rest >= least) & (classes >= least)).select(*ends).distinct()
+        return rows.filter(length & (rest >= least) & (classes >= least)).select(*more, *ends)
 
     posting = F.struct("node", "n", "place", "classes", "component")
     # the node that shares most of its shingles, and those that hashes put first, the same ones for all shingles of a group
     ranks = [F.struct(-F.col("shared"), F.col("node"))] + [F.struct(F.xxhash64("node", F.lit(i)), F.col("node")) for i in range(1, PIVOTS)]
     rows = heads.withColumn("component", F.col("node"))
     pivots = rows.groupBy("token").agg(F.array_distinct(F.array(*(F.min_by(posting, r) for r in ranks))).alias("q")).select("token", F.explode("q").alias("q"))
-    pairs = passing(rows.select("token", posting.alias("p")).join(pivots, "token").filter("p.node <> q.node"))
+    pairs = passing(rows.select("token", posting.alias("p")).join(pivots, "token").filter("p.node <> q.node"), F.col("p.node").alias("node"))
+    # each node is paired with the pivots that it shares most with; what this leaves out is looked at below
+    best = W.partitionBy("node").orderBy(F.desc("shared"), "u", "v")
+    pairs = pairs.groupBy("node", "u", "v").agg(F.count("*").alias("shared")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PAIRS).select("u", "v")
     found = materialize(_verified(pairs, sets, num, den))
     labels = materialize(components(found))
 
