@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veinstone.llm.common import table
 from veinstone.llm.decontamination import decontaminate
+from veinstone.llm.importance import importance_resampling
 from veinstone.llm.jaccard_join import jaccard_join
 from veinstone.llm.language_id import language_id
 from veinstone.llm.packing import pack
@@ -30,6 +31,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_importance_resampling": op2_importance_resampling,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op3_language_id": op3_language_id,
