@@ -120,6 +120,26 @@ def test_warc_round_trip(spark, size, least):
     assert payloads[name(204)] == b"z" * 300_000 and payloads[name(203)] == ("é日本\r\n\r\n" * 50).encode()
 
 
+@pytest.mark.parametrize("size", [warc.RANGE, 1000, 70_000])
+def test_warc_long_urls(spark, size):
+    urls = {i: f"http://x/{i}" for i in range(40)} | {10: "data:," + "a" * 65_600, 20: "data:," + "WARC/1.1 b:" * 30_000, 30: "data:," + "c" * 65_300, 39: "data:," + "d" * 140_000}
+    df = spark.createDataFrame([(i, u, f"payload {i} WARC/1.1\r\na: b\r\n" + "x: WARC/1.1\r\n" * 30) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    path = shared_dir(spark)
+    warc.write_warc(df, path)
+    got = warc.read_warc(spark, path, range_bytes=size).collect()
+    assert sorted((r["record_id"], r["target_uri"], r["digest_ok"]) for r in got) == sorted((f"<urn:x-page:{i}>", u, True) for i, u in urls.items())
+
+
+def test_range_edges_many_decoys():
+    record = lambda n, url="u": b"WARC/1.1\r\nWARC-Target-URI: " + url.encode() + b"\r\nContent-Length: %d\r\n\r\n" % n
+    payload = b"x: WARC/1.1\r\n" * 200_000
+    data = record(len(payload)) + payload + b"\r\n\r\n" + record(1, "v" * 100_000) + b"z\r\n\r\n"
+    edges = dict(warc.range_edges(data, 0, len(data), len(data)))
+    assert edges[0] == len(data) and edges[len(record(len(payload))) + len(payload) + 4] == len(data)
+    head = record(5, "v" * 100_000)
+    assert warc.goes_on(head[:70_000], 10) and warc.goes_on(head[:9], 10) and not warc.goes_on(head, 10) and not warc.goes_on(b"WARC/1.1\r\nno field\r\n" + b"x" * 70_000, 10)
+
+
 def test_warc_cut_off_and_empty(spark):
     path = shared_dir(spark)
     warc.write_warc(spark.createDataFrame([(i, "u", "payload " * 50 + str(i)) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)

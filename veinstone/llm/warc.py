@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from veinstone.llm.common import materialize, shared_dir
 
 MAGIC, END = b"WARC/1.", b"\r\n\r\n"
-#: Bytes of a range, most bytes of a record's header, and rows of duplicates up to which they are broadcast (100 bytes each).
-RANGE, MAX_HEADER, BROADCAST_ROWS = 32 << 20, 1 << 16, 500_000
+#: Bytes of a range, bytes that are read behind a header's start at first, and rows of duplicates up to which they are broadcast (100 bytes each).
+RANGE, WINDOW, BROADCAST_ROWS = 32 << 20, 1 << 16, 500_000
 #: Most tasks that read archives; with more ranges, a task reads several, one after the other.
 MAX_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,7 +80,7 @@ def _open(path: str):
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
     """Fields of the header at ``at``, where its content starts, and that content's length; None if it isn't a header."""
-    end = data.find(END, at, at + MAX_HEADER)
+    end = data.find(END, at)
     if end < 0:
         return None
     first, *lines = data[at:end].split(b"\r\n")
@@ -93,18 +93,51 @@ def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
-    return (fields, end + len(END), int(length)) if length.isascii() and length.isdigit() else None
+    return (fields, end + len(END), int(length)) if length.isascii() and length.isdigit() and len(length) < 20 else None
+
+
+def _candidates(data: bytes, low: int, end: int, cut: bool = False) -> Iterator[tuple[int, int | None]]:
+    """(offset, content length) of what may be headers from ``low`` to the header end at ``end``, last first. ``cut``: the last line may go on behind ``end``.
+
+    The lines are walked back once for all of them, so long headers and much magic before one end take time in proportion to their bytes.
+    """
+    length, known = None, False
+    while end > low:
+        line = data.rfind(b"\r\n", low, end)
+        start = low if line < 0 else line + 2
+        at = data.rfind(MAGIC, start, end)
+        if at >= 0:
+            version = data[at + len(MAGIC) : end]
+            if version.isdigit() or cut and not version.rstrip(b"\r").strip(b"0123456789"):
+                yield at, length
+        colon = data.find(b":", start, end)
+        if colon < 0 and not cut:
+            return
+        if not known and colon >= 0 and data[start:colon].strip().lower() == b"content-length":
+            value, known = data[colon + 1 : end].strip(), True
+            length = int(value) if value.isdigit() and len(value) < 20 else None
+        if line < 0:
+            return
+        end, cut = line, False
+
+
+def goes_on(data: bytes, limit: int) -> bool:
+    """Whether a candidate before ``limit`` may have a header that ends behind ``data``."""
+    last = data.rfind(END)
+    low = last + 2 if last >= 0 else 0
+    return low < limit and any(at < limit for at, _ in _candidates(data, low, len(data), True))
 
 
 def range_edges(data: bytes, start: int, end: int, size: int) -> list[tuple[int, int]]:
     """(offset, exit) of the candidates from ``start`` to ``end`` of a file of ``size`` bytes, of which ``data`` begins at ``start``:
     the exit is where the chain first leaves the range. Candidates whose chain breaks off inside it are left out."""
     following: dict[int, int] = {}
-    at = data.find(MAGIC)
-    while 0 <= at < end - start:
-        if (head := _header(data, at)) and (after := start + head[1] + head[2] + len(END)) <= size:
-            following[start + at] = after
-        at = data.find(MAGIC, at + 1)
+    low, close = 0, data.find(END)
+    while close >= 0 and low < end - start:
+        for at, length in _candidates(data, low, close):
+            if at < end - start and length is not None and (after := start + close + length + 2 * len(END)) <= size:
+                following[start + at] = after
+        low, close = close + 2, data.find(END, close + 1)
     exits: dict[int, int] = {}
     for offset in sorted(following, reverse=True):
         after = following[offset]
@@ -132,7 +165,9 @@ def reached(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFra
             for row in batch.to_pylist():
                 end = min(row["start"] + range_bytes, row["length"])
                 with _open(row["path"]) as f:
-                    data = f.read_at(min(end + MAX_HEADER, row["length"]) - row["start"], row["start"])
+                    data, more = f.read_at(min(end + WINDOW, row["length"]) - row["start"], row["start"]), WINDOW
+                    while row["start"] + len(data) < row["length"] and goes_on(data, end - row["start"]):
+                        data, more = data + f.read_at(min(more, row["length"] - row["start"] - len(data)), row["start"] + len(data)), 2 * more
                 found = range_edges(data, row["start"], end, row["length"])
                 yield pa.RecordBatch.from_pydict({"path": pa.array([row["path"]] * len(found), pa.string()), "length": pa.array([row["length"]] * len(found), pa.int64()), "offset": pa.array([o for o, _ in found], pa.int64()), "exit": pa.array([e for _, e in found], pa.int64())})
 
@@ -153,7 +188,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_
     ``payload`` if asked for.
 
     A file that is cut off gives the records up to there. Files are read by ranges of ``range_bytes`` with pyarrow's file
-    systems; a task holds one range and one record. An empty folder's files give no rows.
+    systems; a task holds one range and one record. Headers may be of any length. An empty folder's files give no rows.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +199,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_
                 with _open(row["path"]) as f:
                     at, held, base = row["offset"], b"", row["offset"]
                     while at < end:
-                        if at + MAX_HEADER > base + len(held) and base + len(held) < row["length"]:
-                            base, held = at, f.read_at(min(max(MAX_HEADER, range_bytes), row["length"] - at), at)
+                        if at + WINDOW > base + len(held) and base + len(held) < row["length"]:
+                            base, held = at, f.read_at(min(max(WINDOW, range_bytes), row["length"] - at), at)
+                        while base + len(held) < row["length"] and held.find(END, at - base) < 0:
+                            base, held = at, f.read_at(min(2 * (base + len(held) - at), row["length"] - at), at)
                         head = _header(held, at - base)
                         if head is None:
                             break
