@@ -6,7 +6,7 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.llm.common import materialize, table
@@ -28,19 +28,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
 
 
+def row_key() -> Column:
+    """128 bits of id and text: rows with both equal, and no others, share it, whatever is null."""
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("null"))
+    return F.unhex(F.md5(F.concat(part("doc_id"), part("text")).cast("binary")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked ones. Rows that share that id and the text stay once."""
-    kept = jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = materialize(kept)
-    shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")).count()
-    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return own.dropDuplicates(["doc_id", "text"]) if shared else own
+    """Keeps the row with the least id of each group of linked ones, a null id last and of equal ids the least ``row_key``. Rows that share the id and the text stay once."""
+    keyed = docs.withColumn("key__", row_key())
+    ids = materialize(keyed.groupBy("key__").agg(F.first("doc_id").alias("id"), F.count("*").alias("n")))
+    linked = jaccard_join(keyed.select("key__", "text"), id_col="key__").select("key__", "component_id").distinct()
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key__"))
+    kept = materialize(linked.join(ids, "key__").groupBy("component_id").agg(least.alias("least")).select(F.col("least.key__").alias("kept__")))
+    own = keyed.join(kept, F.col("key__") == F.col("kept__"), "left_semi")
+    own = own if ids.filter("n > 1").isEmpty() else own.dropDuplicates(["key__"])
+    return own.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """Drops rows in whose text a window of a benchmark item occurs. Nothing but the text decides, so its 128-bit hash names it."""
+    keyed = docs.withColumn("key__", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = decontaminate(keyed.select("key__", "text"), table(spark, sf_dir, "benchmark"), id_col="key__").filter("contaminated").select(F.col("key__").alias("found__")).distinct()
+    return keyed.join(found, F.col("key__") == F.col("found__"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,24 @@ def test_stages(spark):
     assert (safe[1]["text"], safe[1]["n_chars"], safe[2]["text"]) == ("x [SECRET] y", 12, "fine")
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    import duckdb
+
+    item = duckdb.connect().execute("select text from '/root/testdata/sf0.001/benchmark.parquet' order by length(text) desc limit 1").fetchone()[0]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    rows = [(None, "x " + item), (None, "clean one"), (None, "clean two"), (None, "clean two"), (None, None), (7, item), (7, "clean three")]
+    assert texts(stage(spark, "decontamination", make(rows))) == Counter([*rows[1:5], rows[6]])
+    near = " ".join(f"w{i}" for i in range(60))
+    alone, other = "some words that stand alone here", "quite another text without a copy"
+    rows = [(None, near), (None, near + " more"), (None, alone), (None, alone), (None, other + " and id"), (8, other), (8, near + " again and"), (9, "one of nine"), (9, "two of nine")]
+    rows += [(3, "k " + near.replace("w", "v")), (None, near.replace("w", "v")), (4, near.replace("w", "u")), (4, near.replace("w", "u") + " u")]
+    got = texts(stage(spark, "near_duplicates", make(rows)))
+    fixed = [(None, alone), (None, other + " and id"), (8, other), (8, near + " again and"), (9, "one of nine"), (9, "two of nine"), rows[9]]
+    assert all(got[r] == 1 for r in fixed) and sum(got.values()) == len(fixed) + 1
+    assert sum(got[r] for r in rows[-2:]) == 1 and not got[rows[0]] and not got[rows[1]]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     left = {}
