@@ -177,6 +177,17 @@ def test_language(spark):
     assert nothing.count() == 0
 
 
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(150):
+        words = ["".join(chr(0x4E00 + 20 * k + int(c)) for c in rng.integers(0, 20, 4)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 30)), f"l{k:03}") for i in range(12 if k % 2 else 8)]
+    got = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == lang and got[i]["score"] > 0.5 for i, _, lang in rows)
+    assert language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).cells.shape[0] == 3
+
+
 def test_language_counts_exact():
     grams = [language_id.ngrams([t])[0] for t in ("the thing other", "une chose autre")]
     f = language_id.Filters.build(["a", "b"], grams)

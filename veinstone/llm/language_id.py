@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 ORDERS = (3, 4)
 #: Cells of the filters and look-ups for an n-gram.
 CELLS, PROBES = 1 << 20, 2
-#: Languages (bits of a cell), about how many learning texts of each, the least frequency of an n-gram, and how much rarer than elsewhere it may be.
-MAX_LANGUAGES, MAX_TEXTS, LEAST_FREQUENCY, LEAST_RATIO = 64, 3000, 2e-5, 0.2
+#: About how many learning texts of each language, the least frequency of an n-gram, and how much rarer than elsewhere it may be.
+MAX_TEXTS, LEAST_FREQUENCY, LEAST_RATIO = 3000, 2e-5, 0.2
 #: Characters that are looked at together.
 CHUNK = 1 << 20
 _letters: list[np.ndarray] = []
@@ -91,7 +91,7 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Filters:
-    """Filters of ``langs``: the cells, and each language's share of set bits to the power of the probes."""
+    """Filters of ``langs``: the cells, an array for each 64 languages, and each language's share of set bits to the power of the probes."""
 
     langs: tuple[str, ...]
     cells: np.ndarray
@@ -104,19 +104,19 @@ class Filters:
 
     @classmethod
     def build(cls, langs: list[str], grams: list[np.ndarray], count: int = CELLS) -> Filters:
-        cells = np.zeros(count, np.uint64)
-        for bit, g in enumerate(grams):
+        cells = np.zeros((-(-len(langs) // 64), count), np.uint64)
+        for i, g in enumerate(grams):
             for at in cls.cells_of(g, count):
-                cells[at] |= np.uint64(1 << bit)
-        share = np.array([float(np.mean(cells >> np.uint64(b) & np.uint64(1))) for b in range(len(langs))])
+                cells[i // 64, at] |= np.uint64(1 << i % 64)
+        share = np.array([float(np.mean(cells[i // 64] >> np.uint64(i % 64) & np.uint64(1))) for i in range(len(langs))])
         return cls(tuple(langs), cells, share**PROBES)
 
     def languages(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bits of all languages that may contain it."""
-        first, *rest = self.cells_of(hashes, len(self.cells))
-        found = self.cells[first]
+        """For each 64 languages and n-gram the bits of those that may contain it."""
+        first, *rest = self.cells_of(hashes, self.cells.shape[1])
+        found = self.cells[:, first]
         for at in rest:
-            found &= self.cells[at]
+            found &= self.cells[:, at]
         return found
 
     def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +127,8 @@ class Filters:
             whose = np.asarray(places)[owner] if len(owner) else owner
             total += np.bincount(whose, minlength=len(texts))
             found = self.languages(hashes)
-            for bit in range(len(self.langs)):
-                hits[bit] += np.bincount(whose[(found >> np.uint64(bit) & np.uint64(1)).astype(bool)], minlength=len(texts))
+            for i in range(len(self.langs)):
+                hits[i] += np.bincount(whose[(found[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
         return total, np.maximum(0, hits - total * self.chance[:, None]) / (1 - self.chance[:, None])
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -150,18 +150,17 @@ def remainder(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Filters:
     """Learns from the rows with a language whose id has a remainder other than 0.
 
-    Of each language about ``max_texts`` texts are taken, by a hash of their ids; of languages the ``MAX_LANGUAGES`` with
-    most texts. N-grams are counted where the texts are and summed by Spark; the driver gets those of at least
+    Of each language about ``max_texts`` texts are taken, by a hash of their ids. All languages are learned. N-grams are counted where the texts are and summed by Spark; the driver gets those of at least
     ``LEAST_FREQUENCY``, of which a language can have no more than the inverse of that for each order.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & (remainder(F.col(id_col)) != 0)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     langs = [r["lang"] for r in sizes]
     if not langs:
-        return Filters((), np.zeros(1, np.uint64), np.zeros(0))
+        return Filters((), np.zeros((0, 1), np.uint64), np.zeros(0))
     grain = 1 << 30
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(grain, int(grain * max_texts / r["count"]))))))
-    sample = rows.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("id", F.lit("learn")), F.lit(grain)) < F.element_at(share, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(grain, int(grain * max_texts / r["count"]))) for r in sizes], "lang string, share long")
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", F.lit("learn")), F.lit(grain)) < F.col("share"))
     place = {x: i for i, x in enumerate(langs)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for places, held in pieces(batch.column(0).to_pylist()):
                 hashes, text = ngrams(held)
                 lang = owner[np.asarray(places)][text] if len(text) else text
-                for bit in range(len(langs)):
+                for bit in np.unique(lang):
                     grams, n = np.unique(hashes[lang == bit], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), bit)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -179,7 +178,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     frequent = grams.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("f")).filter(F.col("f") >= LEAST_FREQUENCY).toPandas()
     most = frequent.groupby("gram")["f"].transform("max")
     kept = frequent[frequent["f"] >= LEAST_RATIO * most]
-    return Filters.build(langs, [kept["gram"][kept["lang"] == i].to_numpy(np.int64).view(np.uint64) for i in range(len(langs))])
+    by = {i: g.to_numpy() for i, g in kept.groupby("lang")["gram"]}
+    return Filters.build(langs, [np.asarray(by[i], np.int64).view(np.uint64) if i in by else np.empty(0, np.uint64) for i in range(len(langs))])
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Among languages with equally many
     n-grams, also with none, the one with most learning texts wins. Repeated rows and null ids give a row each. No shuffle; the filters are
-    broadcast (8 bytes for each of ``CELLS``).
+    broadcast (8 bytes for each of ``CELLS`` and 64 languages).
     """
     known = docs.sparkSession.sparkContext.broadcast(filters)
 
