@@ -102,6 +102,15 @@ def test_cutoffs_limit_false_rejection(spark):
     assert all(r["kept"] == (r["lang"] is None or "#" not in r["text"]) for r in out)
 
 
+def test_all_strata_have_cutoffs(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, text + (" " + "#" * 60 if i % 21 == 20 else ""), f"s{i // 21}") for i in range(21 * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 1) for i, t, _ in rows if "#" not in t], "doc_id long, quality int")
+    out = quality_rules.quality_rules(df, labels, alpha=3.0, stratum_col="source").collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == {i for i, t, _ in rows if "#" in t}
+
+
 def plain_spans(t, rules=secrets.RULES):
     t = t or ""
     out = []

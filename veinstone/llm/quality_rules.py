@@ -28,8 +28,6 @@ GRIDS: dict[str, tuple[float, ...]] = {
     "repeat_share": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25),
     "mean_word": (5.5, 6.0, 6.5, 7.0, 8.0, 10.0, 14.0),
 }
-#: Strata with the most good documents; rows of others are judged by the base rules alone.
-MAX_STRATA = 256
 
 
 def _windows(words: Column, size: int) -> Column:
@@ -114,7 +112,6 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float,
     good = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("q")).filter("q >= 1").select("id")
     hits = [F.count_if(F.col(m) > c).alias(f"{m}_{i}") for m, grid in GRIDS.items() for i, c in enumerate(grid)]
     by = measured.join(good, "id").filter(F.col("stratum").isNotNull() & (F.col("n_words") > 0)).groupBy("stratum").agg(F.count("*").alias("n_good"), *hits)
-    by = by.orderBy(F.desc("n_good"), "stratum").limit(MAX_STRATA)
     total = by.agg(F.count("*").alias("n_strata"))
     level = F.lit(delta) / (F.lit(len(GRIDS)) * F.greatest("n_strata", F.lit(1)))
     by = by.join(F.broadcast(total)).withColumn("allowed", allowed(F.col("n_good"), alpha / len(GRIDS), level))
@@ -125,15 +122,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float,
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.06, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of every row, with the number of ``cut_rules`` that reject it.
 
-    Null and empty texts have no words and fail the base. Rows of a stratum that is null, has too few labels for any
-    proof, or isn't among the ``MAX_STRATA`` largest are judged by the base alone. Repeated rows give equal rows.
+    Null and empty texts have no words and fail the base. Rows of a stratum that is null or has too few labels for any
+    proof are judged by the base alone. Repeated rows give equal rows.
 
     Measures are computed once and written to the shared folder: narrow rows, read for the cutoffs and for the
-    verdicts. Only labelled rows' measures are shuffled; the cutoffs (``MAX_STRATA`` rows) are broadcast.
+    verdicts. Only labelled rows' measures are shuffled; the cutoffs (a narrow
+    row for each stratum) are written too, so Spark knows their size when it chooses the join.
     """
     measured = materialize(measures(docs, id_col, text_col, stratum_col))
-    cuts = cutoffs(measured, labels, alpha, delta)
-    out = measured.join(F.broadcast(cuts), "stratum", "left")
+    cuts = materialize(cutoffs(measured, labels, alpha, delta))
+    out = measured.join(cuts, "stratum", "left")
     rejects = [F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False)).cast("int") for m in GRIDS]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), sum(rejects[1:], rejects[0]).alias("cut_rules"))
