@@ -13,7 +13,7 @@ from veinstone.llm.jaccard_join import jaccard_join
 from veinstone.llm.language_id import language_id
 from veinstone.llm.packing import pack
 from veinstone.llm.quality_rules import GRIDS, quality_rules
-from veinstone.llm.secrets import RULES, secret_scan
+from veinstone.llm.secret_scan import RULES, secret_scan
 from veinstone.llm.token_counts import token_counts
 from veinstone.llm.url_filters import url_filters
 from veinstone.llm.warc import round_trip
