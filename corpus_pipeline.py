@@ -15,7 +15,7 @@ from veinstone.llm.jaccard_join import jaccard_join
 from veinstone.llm.language_id import identify, train
 from veinstone.llm.packing import pack
 from veinstone.llm.queries import vocabulary
-from veinstone.llm.secrets import redact
+from veinstone.llm.secret_scan import redact
 
 #: Least share of a text's n-grams that its language must contain.
 LEAST_SCORE = 0.15
