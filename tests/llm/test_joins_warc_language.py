@@ -69,6 +69,36 @@ def test_jaccard(spark, monkeypatch, seed, chunk):
     assert got == plain_components(docs)
 
 
+def test_hot_shingles_of_unlinked_documents(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4000)
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"common{i}" for i in range(14))
+    own = lambda n: " ".join("".join(x) for x in rng.choice(list("abcdefgh"), (n, 6)))
+    docs = [(i, f"{own(30)} {passage}") for i in range(500)] + [(1000 + i, f"{passage} {passage} x{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_join(df).collect()) == plain_components(docs)
+
+
+def test_packed_chunks_round_trip():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.choice(np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), int(n))) for n in rng.integers(1, 60, 50)]
+    rows = list(jaccard_join._packed(sets, [bytes([i]) * 16 for i in range(len(sets))], 7))
+    names = ["kind", "group", "chunk", "a", "b", "c"]
+    kinds = [jaccard_join.pa.int32(), jaccard_join.pa.int32(), jaccard_join.pa.int64(), *[jaccard_join.pa.binary()] * 3]
+    table = jaccard_join.pa.table({n: jaccard_join.pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+    assert any(r[0] == jaccard_join.SHARED for r in rows)
+    made = jaccard_join._shared(80, 100)(jaccard_join._answers(table)).to_pylist()
+    count = Counter(int(x) for s in sets for x in s)
+    for r in made:
+        s = sets[r["node"][0]]
+        want = sorted((count[int(x)], int(x)) for x in s if count[int(x)] > 1)
+        got = [x % 2**64 for x in r["tokens"]]
+        assert r["n"] == len(s) and got == [x for _, x in want]
+        for i, rest in enumerate(r["rest"]):
+            assert rest == [sum(x % jaccard_join.CLASSES == c for x in got[i + 1 :]) for c in range(jaccard_join.CLASSES)]
+        assert len(r["rest"]) == min(len(got), len(s) - -(-len(s) * 80 // 100) + 1 - (len(s) - len(got)))
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_join(df).count() == 0

@@ -12,18 +12,26 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large(edges: DataFrame) -> DataFrame:
+#: Edges up to which the least neighbours (two rows of about 150 bytes for an edge at most) are broadcast, so that a node with many edges makes no large task.
+BROADCAST_EDGES = 100_000
+
+
+def _near(least: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(least) if n <= BROADCAST_EDGES else least
+
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     """Links each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.filter("v > u").join(_near(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Links a node and its lesser neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    made = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    made = down.join(_near(least, n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return made.filter("u <> v").distinct()
 
 
@@ -37,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct())
     state = _state(edges)
     while state[0]:
-        edges = materialize(_small(_large(edges)))
+        edges = materialize(_small(_large(edges, state[0]), state[0]))
         last, state = state, _state(edges)
         if last == state:
             break

@@ -4,15 +4,19 @@ A document is the set of its word shingles; documents with equal sets are one no
 the number of nodes that have them. Sets with a Jaccard similarity of t share a shingle among the first
 n - ceil(t n) + 1 of each (the prefix). The steps:
 
-1. Tasks hash texts to sets and deal the postings (shingle, node) out by ranges of the hash, in packed arrays. Each range
-   counts its shingles and answers those that more than one node has; the others can't be shared. Nodes whose prefix
-   holds only unshared shingles are finished, which are most of them.
+1. Tasks hash texts to sets and deal the postings (shingle, node) out by ranges of the hash, in packed arrays. A chunk sends
+   a shingle that many of its own nodes have once, with their number. Each range counts its shingles and answers those
+   that more than one node has; the others can't be shared. Nodes whose prefix holds only unshared shingles are
+   finished, which are most of them.
 2. Prefix postings of the rest are joined on the shingle. Pairs pass a length filter, a positional filter (what can still
-   follow the shingle in both) and a suffix filter (sizes of both sets in classes of the hash bound what they share), and are verified once, on
-   the whole sets.
+   follow the shingle in both) and a suffix filter (what follows in both, in classes of the hash, bounds what they share), and
+   are verified once, on the whole sets.
 3. Links serve to tell components. So pairs within a component need no look, and groups of copies don't make all
    their pairs: first the nodes of a posting list are paired with a few pivots each, then all pairs whose ends are
-   still in different components are joined.
+   still in different components, and that haven't been tried, are joined.
+
+A node is named by the least id of its rows and its digest, so the least node of a component names it, and no
+component is ever gathered or joined by.
 """
 
 from __future__ import annotations
@@ -30,9 +34,15 @@ from veinstone.llm.common import materialize
 from veinstone.llm.components import components
 from veinstone.llm.shingles import SIZE, shingle_sets
 
-#: Postings that a task packs at once, bytes of text for a range of hashes, texts that are hashed together (characters), pivots of a shingle and of a node, classes of the suffix filter.
-CHUNK, RANGE_BYTES, BATCH_CHARS, PIVOTS, PAIRS, CLASSES = 3_000_000, 16_000_000, 1 << 21, 3, 2, 16
-DOC, NODES, POSTINGS = 0, 1, 2
+#: Postings that a task packs at once, nodes of a chunk from which a shingle is sent once, texts that are hashed together (characters), pivots of a shingle and of a node, classes of the suffix filter.
+CHUNK, HOT, BATCH_CHARS, PIVOTS, PAIRS, CLASSES = 3_000_000, 8, 1 << 21, 3, 2, 16
+#: Bytes of text for a range of hashes: the least, the most, and so many ranges in between; postings of a chunk for each range, up to a multiple of ``CHUNK``.
+RANGE_BYTES, MOST_RANGE_BYTES, RANGES, ROW, MOST_CHUNK = 4_000_000, 64_000_000, 50_000, 60, 4
+DOC, NODES, POSTINGS, SHARED = 0, 1, 2, 3
+#: A node is hot with more than this part of all rows, so at most so many are.
+HOT_SHARE = 1000
+#: An owner from here on is a number of owners.
+MANY = 1 << 31
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -50,14 +60,29 @@ def needed(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     return -(-n * num // den)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+
+
 def _packed(sets: list[np.ndarray], digests: list[bytes], ranges: int) -> Iterator[tuple]:
-    """Rows (kind, group, chunk, a, b, c) of a chunk of distinct sets: its nodes and sizes, and for each range the sorted shingles with their owners."""
+    """Rows (kind, group, chunk, a, b, c) of a chunk of distinct sets: its nodes and sizes, the shingles of ``HOT`` sets or
+    more with their owners, and for each range the sorted shingles with their owner or, of those, the number of owners."""
     nodes, sizes = b"".join(digests), np.array([len(s) for s in sets], np.int32)
     chunk = xxhash.xxh64_intdigest(nodes) - (1 << 63)
     yield NODES, chunk % ranges, chunk, nodes, sizes.tobytes(), b""
     tokens = np.concatenate(sets)
     order = np.argsort(tokens)
     tokens, owners = tokens[order], np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)[order]
+    first = _starts(tokens)
+    counts = np.diff(np.append(first, len(tokens)))
+    hot = counts >= HOT
+    if hot.any():
+        within = np.repeat(hot, counts)
+        yield SHARED, chunk % ranges, chunk, squeeze(np.diff(tokens[first[hot]], prepend=np.uint64(0))), squeeze(counts[hot].astype(np.uint32)), squeeze(owners[within])
+        within[first[hot]] = False
+        owners[first[hot]] = MANY + counts[hot]
+        tokens, owners = tokens[~within], owners[~within]
     cuts = np.searchsorted((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
     for i in np.flatnonzero(np.diff(cuts)):
         part = tokens[cuts[i] : cuts[i + 1]]
@@ -78,11 +103,10 @@ def _answers(group: pa.Table) -> pa.Table:
     whose = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     del parts
     order = np.argsort(tokens)
-    sorted_tokens = tokens[order]
-    first = np.flatnonzero(np.concatenate((np.ones(1, bool), sorted_tokens[1:] != sorted_tokens[:-1])))
-    counts = np.diff(np.append(first, len(order)))
+    first = _starts(tokens[order])
+    number = np.where(owners >= MANY, owners - np.uint32(MANY), np.uint32(1)).astype(np.int64)
     count = np.empty(len(order), np.uint32)
-    count[order] = np.repeat(counts, counts)
+    count[order] = np.repeat(np.add.reduceat(number[order], first), np.diff(np.append(first, len(order))))
     keep = np.flatnonzero(count > 1)
     ends = np.searchsorted(whose[keep], np.arange(len(rows) + 1))
     made: dict[str, list] = {n: [] for n in group.schema.names}
@@ -97,8 +121,9 @@ def _answers(group: pa.Table) -> pa.Table:
 
 
 def _shared(num: int, den: int):
-    """Of one chunk: node, n, the shared shingles, rare first, and their number in each class, of the sets that have one in their prefix."""
-    schema = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32()))])
+    """Of one chunk: node, n, the shared shingles, rare first, of the sets that have one in their prefix, and for each shingle of
+    the prefix how many of what follows it are in each class."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("rest", pa.list_(pa.list_(pa.int32())))])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -106,28 +131,45 @@ def _shared(num: int, den: int):
         rows = [i for i, k in enumerate(kinds) if k == POSTINGS]
         if NODES not in kinds or not rows:
             return schema.empty_table()
+        blob = lambda name, i, kind: unsqueeze(group.column(name)[i].as_py(), kind)
         own = kinds.index(NODES)
         nodes, sizes = group.column("a")[own].as_py(), np.frombuffer(group.column("b")[own].as_py(), np.int32)
-        parts = {name: [unsqueeze(group.column(name)[i].as_py(), kind) for i in rows] for name, kind in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32))}
-        tokens, owners, counts = np.concatenate([np.cumsum(p, dtype=np.uint64) for p in parts["a"]]), np.concatenate(parts["b"]), np.concatenate(parts["c"])
+        tokens = np.concatenate([np.cumsum(blob("a", i, np.uint64), dtype=np.uint64) for i in rows])
+        owners, counts = np.concatenate([blob("b", i, np.uint32) for i in rows]), np.concatenate([blob("c", i, np.uint32) for i in rows])
+        if SHARED in kinds:
+            hot = kinds.index(SHARED)
+            many, lengths = owners >= MANY, blob("b", hot, np.uint32)
+            number = counts[many][np.argsort(tokens[many])]
+            tokens = np.concatenate((tokens[~many], np.repeat(np.cumsum(blob("a", hot, np.uint64), dtype=np.uint64), lengths)))
+            owners, counts = np.concatenate((owners[~many], blob("c", hot, np.uint32))), np.concatenate((counts[~many], np.repeat(number, lengths)))
         have = np.bincount(owners, minlength=len(sizes))
         prefix = sizes - needed(sizes.astype(np.int64), num, den) + 1
         good = (have > 0) & (sizes - have < prefix)
         mine = good[owners]
         tokens, owners, counts = tokens[mine], owners[mine], counts[mine]
         order = np.lexsort((tokens, counts, owners))
-        values = pa.array(tokens[order].view(np.int64))
+        tokens, owners = tokens[order], owners[order]
         at = np.flatnonzero(good)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(have[at]))), pa.int32()), values)
-        rank = np.cumsum(good) - 1
-        classes = np.bincount(rank[owners] * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(at) * CLASSES).astype(np.int32)
-        classes = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * CLASSES, pa.int32()), pa.array(classes))
-        return pa.Table.from_arrays([pa.array([nodes[16 * i : 16 * i + 16] for i in at], pa.binary()), pa.array(sizes[at], pa.int32()), lists, classes], schema=schema)
+        offsets = np.concatenate(([0], np.cumsum(have[at])))
+        whose = (np.cumsum(good) - 1)[owners]
+        classes = (tokens % np.uint64(CLASSES)).astype(np.int64)
+        total = np.bincount(whose * CLASSES + classes, minlength=len(at) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
+        head = np.flatnonzero(np.arange(len(tokens)) - offsets[whose] < (prefix - (sizes - have))[owners])
+        seen = np.zeros((len(head), CLASSES), np.int32)
+        seen[np.arange(len(head)), classes[head]] = 1
+        heads = np.bincount(whose[head], minlength=len(at))
+        begin = np.concatenate(([0], np.cumsum(heads)))
+        seen = np.cumsum(seen, axis=0, dtype=np.int32)
+        before = np.concatenate((np.zeros((1, CLASSES), np.int32), seen))[begin[:-1]]
+        rest = total[whose[head]] - (seen - before[whose[head]])
+        rest = pa.ListArray.from_arrays(pa.array(np.arange(len(head) + 1) * CLASSES, pa.int32()), pa.array(rest.ravel()))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64))), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), rest)]
+        return pa.Table.from_arrays([pa.array([nodes[16 * i : 16 * i + 16] for i in at], pa.binary()), pa.array(sizes[at], pa.int32()), *lists], schema=schema)
 
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, chunk: int) -> DataFrame:
     id_type = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -156,7 +198,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int) -
                     if len(s) and digest not in sets:
                         sets[digest] = s
                         held += len(s)
-                if held >= CHUNK:
+                if held >= chunk:
                     yield from flush()
                     sets.clear()
                     held = 0
@@ -177,12 +219,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``node, component`` of the nodes of ``sets`` that are linked to another one."""
-    n = F.col("n")
-    prefix = n - F.expr(f"cast((cast(n as bigint) * {num} + {den - 1}) div {den} as int)") + 1
-    short = prefix - (n - F.size("tokens"))
-    heads = sets.select("node", "n", (F.size("tokens") / n).alias("shared"), "classes", F.posexplode(F.slice("tokens", F.lit(1), short)).alias("i", "token"), (n - F.size("tokens")).alias("unshared"))
-    heads = heads.select("token", "node", "n", "shared", "classes", (F.col("unshared") + F.col("i")).alias("place"))
+    """``node, component`` of the nodes of ``sets`` (``node, n, tokens, rest``) that are linked to another one."""
+    n, shared = F.col("n"), F.size("tokens")
+    heads = sets.select("node", "n", "tokens", (shared / n).alias("shared"), F.posexplode("rest").alias("i", "rest"))
+    heads = heads.select(F.get("tokens", F.col("i")).alias("token"), "node", "n", "shared", "rest", (n - shared + F.col("i")).alias("place"))
     several = heads.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("token")
     heads = materialize(heads.join(several, "token"))
 
@@ -191,11 +231,12 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
         least = F.expr(f"(cast(p.n + q.n as bigint) * {num} + {num + den - 1}) div {num + den}")  # what similar sets share at least
         length = F.lit(den) * F.least("p.n", "q.n") >= F.lit(num) * F.greatest("p.n", "q.n")
         rest = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
-        classes = F.aggregate(F.zip_with("p.classes", "q.classes", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+        # of the first shingle that both have: itself and what follows in both
+        suffix = F.aggregate(F.zip_with("p.rest", "q.rest", lambda x, y: F.least(x, y)), F.lit(1), lambda a, x: a + x)
         ends = [F.least("p.node", "q.node").alias("u"), F.greatest("p.node", "q.node").alias("v")]
-        return rows.filter(length & (rest >= least) & (classes >= least)).select(*more, *ends)
+        return rows.filter(length & (rest >= least) & (suffix >= least)).select(*more, *ends)
 
-    posting = F.struct("node", "n", "place", "classes", "component")
+    posting = F.struct("node", "n", "place", "rest", "component")
     # the node that shares most of its shingles, and those that hashes put first, the same ones for all shingles of a group
     ranks = [F.struct(-F.col("shared"), F.col("node"))] + [F.struct(F.xxhash64("node", F.lit(i)), F.col("node")) for i in range(1, PIVOTS)]
     rows = heads.withColumn("component", F.col("node"))
@@ -204,7 +245,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     # each node is paired with the pivots that it shares most with; what this leaves out is looked at below
     best = W.partitionBy("node").orderBy(F.desc("shared"), "u", "v")
     pairs = pairs.groupBy("node", "u", "v").agg(F.count("*").alias("shared")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PAIRS).select("u", "v")
-    found = materialize(_verified(pairs, sets, num, den))
+    tried = materialize(pairs.distinct())
+    found = materialize(_verified(tried, sets, num, den))
     labels = materialize(components(found))
 
     # all pairs that are still apart have an end outside the component that is most frequent among a shingle's postings
@@ -212,11 +254,11 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     most = rows.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("token", "most")
     rows = materialize(rows.join(most, "token"))
     p = rows.filter("component <> most").select("token", posting.alias("p"))
-    q = rows.select(F.col("token").alias("token_q"), F.struct("node", "n", "place", "classes", "component", "most").alias("q"))
+    q = rows.select(F.col("token").alias("token_q"), F.struct("node", "n", "place", "rest", "component", "most").alias("q"))
     apart = (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.most")) | (F.col("p.node") < F.col("q.node")))
     near = F.lit(den) * F.least("p.n", "q.n") >= F.lit(num) * F.greatest("p.n", "q.n")
     pairs = passing(p.join(q, (F.col("token") == F.col("token_q")) & apart & near))
-    more = materialize(_verified(pairs, sets, num, den))
+    more = materialize(_verified(pairs.join(tried, ["u", "v"], "left_anti"), sets, num, den))
     return labels if more.isEmpty() else materialize(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
 
 
@@ -231,14 +273,23 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, size: int = SIZ
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    ranges = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // 1_000_000), -(-total // RANGE_BYTES))
-    rows = _rows(docs, id_col, text_col, size, ranges)
+    ranges = -(-total // min(max(RANGE_BYTES, total // RANGES), MOST_RANGE_BYTES))
+    ranges = max(ranges, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // 1_000_000))
+    rows = _rows(docs, id_col, text_col, size, ranges, min(max(CHUNK, ROW * ranges), MOST_CHUNK * CHUNK))
     schema = rows.schema
     answered = materialize(rows.groupBy("group").applyInArrow(_answers, schema))
-    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_shared(num, den), "node binary, n int, tokens array<long>, classes array<int>")
-    sets = materialize(sets.dropDuplicates(["node"]))
-    labels = links(sets, num, den)
-    named = answered.filter(F.col("kind") == DOC).select("id", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = named.withColumn("component", F.when(F.col("n") > 0, F.col("component"))).join(least, "component", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    named = answered.filter(F.col("kind") == DOC).select("id", "node", "n")
+    nodes = materialize(named.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_shared(num, den), "node binary, n int, tokens array<long>, rest array<array<int>>")
+    name = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("digest"))
+    sets = materialize(sets.dropDuplicates(["node"]).join(nodes, "node").withColumn("node", name).drop("least", "rows"))
+    labels = links(sets, num, den).select(F.col("node.digest").alias("node"), F.col("component.id").alias("component_id"), F.lit(True).alias("linked"))
+    # rows without an equal or a linked one are their own component
+    known = nodes.join(labels, "node", "left").filter("linked OR rows > 1").select("node", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("known"))
+    # nodes with more than a HOT_SHARE-th of the rows are few, and are found without a shuffle
+    rows = nodes.agg(F.sum("rows")).first()[0] or 0
+    hot = known.join(nodes.filter(F.col("rows") * HOT_SHARE > rows).select("node"), "node", "left_semi")
+    hot = materialize(hot)
+    rest = named.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known, "node", "left")
+    out = named.join(F.broadcast(hot), "node").unionByName(rest)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
