@@ -34,8 +34,8 @@ def plain_decontaminate(text, items, size=10):
     return len(words), len(hit), sorted(named)
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK, 3])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_BYTES, 0])
+def test_decontamination(spark, most):
     rng = np.random.default_rng(5)
     words = ["Alpha", "beta", "GAMMA", "É", "ς", "ΑΣ", "x1", "the", "İs", "Kelvin"]
     text = lambda n: " ".join(rng.choice(words, n))
@@ -44,14 +44,24 @@ def test_decontamination(spark, block):
     docs += [(100, None), (101, ""), (102, "  ,,  "), (103, "x " + items[0][1].upper() + " y"), (103, "x " + items[0][1].upper() + " y"), (None, items[1][1]), (104, (items[1][1] + ". ") * 300), (103, "other"), (105, "a" * 100_000 + " the " * 30), (106, items[2][1].replace(" ", ","))]
     df = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS)
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
-    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.decontaminate(df, bench, block=block).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.decontaminate(df, bench, broadcast_bytes=most).collect())
     want = Counter()
     for doc, t in docs:
         n, hit, named = plain_decontaminate(t, items)
         want[(doc, n, hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0)] += 1
     assert got == want
-    assert decontamination.decontaminate(df, bench.limit(0)).filter("contaminated").count() == 0
-    assert decontamination.decontaminate(df.limit(0), bench).count() == 0
+    assert decontamination.decontaminate(df, bench.limit(0), broadcast_bytes=most).filter("contaminated").count() == 0
+    assert decontamination.decontaminate(df.limit(0), bench, broadcast_bytes=most).count() == 0
+
+
+def test_window_in_very_many_items(spark):
+    shared = " ".join(f"w{i}" for i in range(10))
+    bench = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(shared).alias("text"))
+    docs = [(i, f"a {shared} b") for i in range(300)] + [(300, "a b")]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect()
+    digest = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    want = {(i, 12, 10, 100_000, digest) for i in range(300)} | {(300, 2, 0, 0, hashlib.sha256(b"").hexdigest())}
+    assert set(map(tuple, got)) == want
 
 
 def plain_repeat(words, size=8):
