@@ -106,7 +106,7 @@ def test_allowed_is_exact(spark):
 
 def test_cutoffs_limit_false_rejection(spark):
     rng = np.random.default_rng(9)
-    rows = [(i, (" ".join(f"w{k}" for k in range(30)) + " " + "#" * int(s)), "en" if i % 3 else None) for i, s in enumerate(rng.choice([0, 0, 0, 60], 3000))]
+    rows = [(i, (f"d{i} " + " ".join(f"w{k}" for k in range(30)) + " " + "#" * int(s)), "en" if i % 3 else None) for i, s in enumerate(rng.choice([0, 0, 0, 60], 3000))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = [(i, 0 if "#" in t else 1) for i, t, _ in rows] + [(1, None), (None, 1), (99_999, 1)]
     out = quality_rules.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int")).join(df.select("doc_id", "lang", "text"), "doc_id").collect()
@@ -115,13 +115,52 @@ def test_cutoffs_limit_false_rejection(spark):
 
 def test_all_strata_have_cutoffs(spark):
     text = " ".join(f"w{k}" for k in range(30))
-    rows = [(i, text + (" " + "#" * 60 if i % 21 == 20 else ""), f"s{i // 21}") for i in range(21 * 300)]
+    rows = [(i, f"d{i} {text}" + (" " + "#" * 60 if i % 41 == 40 else ""), f"s{i // 41}") for i in range(41 * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     labels = spark.createDataFrame([(i, 1) for i, t, _ in rows if "#" not in t], "doc_id long, quality int")
-    out = quality_rules.quality_rules(df, labels, alpha=3.0, stratum_col="source").collect()
+    out = quality_rules.quality_rules(df, labels, alpha=0.8, stratum_col="source").collect()
     assert {r["doc_id"] for r in out if not r["kept"]} == {i for i, t, _ in rows if "#" in t}
 
 
+def plain_cutoffs(rows, alpha, delta):
+    """``rows``: (stratum, print, measures) of good documents."""
+    strata = {}
+    for stratum, print_, measures in {(s, p): (s, p, m) for s, p, m in rows}.values():
+        strata.setdefault(stratum, ([], []))[print_ >= "8"].append(measures)
+    strata = {s: v for s, v in strata.items() if v[0] and v[1]}
+    out = {}
+    for s, (path, held) in strata.items():
+        sets = [{m: next((c for c in grid if sum(x[m] > c for x in path) <= share * len(path)), None) for m, grid in quality_rules.GRIDS.items()} for share in quality_rules.PATH]
+        best = dict.fromkeys(quality_rules.GRIDS)
+        for rules in sets:
+            x = sum(any(c is not None and v[m] > c for m, c in rules.items()) for v in held)
+            if sum(math.comb(len(held), k) * alpha**k * (1 - alpha) ** (len(held) - k) for k in range(x + 1)) > delta / len(strata):
+                break
+            best = rules
+        out[s] = best
+    return out
+
+
+def test_cutoffs_against_plain(spark):
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(5000):
+        words = [f"w{i}", *rng.choice(["alpha", "be", "gamma!", "DELTA", "#", "epsilonepsilon"], int(rng.integers(20, 60)), p=[0.4, 0.3, 0.1, 0.08, 0.02, 0.1])]
+        texts.append((i, "\n".join([" ".join(map(str, words))] * int(rng.choice([1, 1, 1, 1, 2]))), f"s{int(rng.choice(5, p=[0.5, 0.3, 0.15, 0.04, 0.01]))}"))
+    rows = texts + [(i + 10_000, t, s) for i, t, s in texts[:400]]  # repeated texts count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.9)) for i, _, _ in rows], "doc_id long, quality int")
+    measured = quality_rules.measures(df, "doc_id", "text", "lang")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"]}
+    plain = plain_cutoffs([(r["stratum"], r["print"], r) for r in measured.collect() if r["id"] in good], 0.06, 0.05)
+    got = {r["stratum"]: {m: r[f"cut_{m}"] for m in quality_rules.GRIDS} for r in quality_rules.cutoffs(measured, labels, 0.06, 0.05).collect()}
+    assert got == plain
+    assert sum(any(c is not None for c in v.values()) for v in plain.values()) >= 3 and any(all(c is None for c in v.values()) for v in plain.values())
+    out = quality_rules.quality_rules(df, labels).select("doc_id", "cut_rules").collect()
+    cuts = {r["id"]: sum(c is not None and r[m] > c for m, c in plain.get(r["stratum"], {}).items()) for r in measured.collect()}
+    assert {r["doc_id"]: r["cut_rules"] for r in out} == cuts and any(cuts.values())
+
+
 def plain_spans(t, rules=secret_scan.RULES):
     t = t or ""
     out = []

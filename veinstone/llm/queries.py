@@ -12,7 +12,7 @@ from veinstone.llm.importance import importance_resampling
 from veinstone.llm.jaccard_join import jaccard_join
 from veinstone.llm.language_id import language_id
 from veinstone.llm.packing import pack
-from veinstone.llm.quality_rules import GRIDS, quality_rules
+from veinstone.llm.quality_rules import GRIDS, PATH, quality_rules
 from veinstone.llm.secret_scan import RULES, secret_scan
 from veinstone.llm.token_counts import token_counts
 from veinstone.llm.url_filters import url_filters
@@ -114,26 +114,34 @@ _OP5 = f"""
     twice AS (SELECT doc_id, p.pos0 AS pos0 FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, p.win) > 1),
     repeats AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(pos0, pos0 + 8)) AS pos FROM twice) GROUP BY doc_id),
     counts AS (
-        SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        SELECT doc_id, lang, md5(text) AS print, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
                len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS exclaims, len(regexp_extract_all(text, '\\b[A-Z]{{3,}}')) AS caps
         FROM texts LEFT JOIN repeats USING (doc_id)),
     measured AS (SELECT *, {", ".join(f"{m_sql} AS {m}" for m, m_sql in _OP5_MEASURES.items())} FROM counts),
     good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
-    held AS (SELECT measured.* FROM measured JOIN good USING (doc_id) WHERE lang IS NOT NULL AND n_words > 0),
-    strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
-    level AS (SELECT 0.05 / ({len(GRIDS)} * count(*)) AS d FROM strata),
-    terms AS (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.01) AS BIGINT) + 1)) AS k FROM strata),
-    sums AS (SELECT lang, k, sum(exp(CASE WHEN n = k THEN 0 ELSE (n - k) * ln(0.99) END + lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01))) OVER (PARTITION BY lang ORDER BY k) AS cdf FROM terms),
-    allowed AS (SELECT lang, coalesce(max(k) FILTER (cdf <= d), -1) AS x FROM sums, level GROUP BY lang),
+    held AS (SELECT DISTINCT lang, print, {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in GRIDS)} FROM measured JOIN good USING (doc_id) WHERE lang IS NOT NULL AND n_words > 0),
+    firsts AS (SELECT lang, count(*) AS n_path FROM held WHERE print < '8' GROUP BY lang),
     grid AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {c}::DOUBLE)" for m, g in GRIDS.items() for c in g)}) t(m, c)),
-    long AS ({" UNION ALL ".join(f"SELECT lang, '{m}' AS m, CAST({m} AS DOUBLE) AS v FROM held" for m in GRIDS)}),
+    path AS (SELECT * FROM (VALUES {", ".join(f"({k}, {t}::DOUBLE)" for k, t in enumerate(PATH))}) t(k, share)),
+    long AS ({" UNION ALL ".join(f"SELECT lang, '{m}' AS m, {m} AS v FROM held WHERE print < '8'" for m in GRIDS)}),
     tried AS (SELECT lang, m, c, count(*) FILTER (v > c) AS rejected FROM long JOIN grid USING (m) GROUP BY ALL),
-    cuts AS (SELECT lang, m, min(c) AS cut FROM tried JOIN allowed USING (lang) WHERE rejected <= x GROUP BY lang, m),
-    wide AS (SELECT lang, {", ".join(f"max(cut) FILTER (m = '{m}') AS cut_{m}" for m in GRIDS)} FROM cuts GROUP BY lang),
+    cuts AS (SELECT lang, k, m, min(c) AS cut FROM tried JOIN firsts USING (lang), path WHERE rejected <= share * n_path GROUP BY lang, k, m),
+    wide AS (SELECT lang, k, {", ".join(f"max(cut) FILTER (m = '{m}') AS cut_{m}" for m in GRIDS)} FROM cuts GROUP BY lang, k),
+    sets AS (SELECT lang, k, {", ".join(f"cut_{m}" for m in GRIDS)} FROM (SELECT lang, k FROM firsts, path) LEFT JOIN wide USING (lang, k)),
+    tests AS (SELECT lang, k, count(*) AS n, count(*) FILTER ({" OR ".join(f"coalesce({m} > cut_{m}, false)" for m in GRIDS)}) AS x
+              FROM held JOIN sets USING (lang) WHERE print >= '8' GROUP BY lang, k),
+    strata AS (SELECT DISTINCT lang, n FROM tests),
+    level AS (SELECT 0.05 / count(*) AS d FROM strata),
+    terms AS (SELECT lang, n, unnest(range(0, CAST(ceil(n * 0.06) AS BIGINT) + 1)) AS k FROM strata),
+    sums AS (SELECT lang, k, sum(exp(CASE WHEN n = k THEN 0 ELSE (n - k) * ln(0.94) END + lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.06))) OVER (PARTITION BY lang ORDER BY k) AS cdf FROM terms),
+    allowed AS (SELECT lang, coalesce(max(k) FILTER (cdf <= d), -1) AS most FROM sums, level GROUP BY lang),
+    passed AS (SELECT lang, k, bool_and(x <= most) OVER (PARTITION BY lang ORDER BY k) AS proved FROM tests JOIN allowed USING (lang)),
+    last AS (SELECT lang, max(k) AS k FROM passed WHERE proved GROUP BY lang),
+    final AS (SELECT sets.* FROM sets JOIN last USING (lang, k)),
     verdict AS (SELECT *, {" + ".join(f"coalesce({m} > cut_{m}, false)::INT" for m in GRIDS)} AS cut_rules, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
-                FROM measured LEFT JOIN wide USING (lang))
+                FROM measured LEFT JOIN final USING (lang))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cut_rules, NOT base_failed AND cut_rules = 0 AS kept FROM verdict"""
 
 
