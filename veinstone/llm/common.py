@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors see: below ``spark.checkpoint.dir``, or a local one if that is unset (tests)."""
+    """A fresh folder that the driver and all executors see: below ``spark.checkpoint.dir``, or in local mode (tests) a temporary one if that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext.getCheckpointDir()
         if not set_dir:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veinstone-"))
             set_dir = spark.sparkContext.getCheckpointDir()
         base = set_dir
@@ -55,6 +59,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that Arrow and the C library hold back to the system: Python workers outlive their tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Only ``cols`` of ``df``, under their own names, whatever else it carries."""
     return df.select(*(F.col(c) for c in cols))

@@ -21,7 +21,7 @@ component is ever gathered or joined by.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize
+from veinstone.llm.common import materialize, release
 from veinstone.llm.components import components
 from veinstone.llm.shingles import SIZE, shingle_sets
 
 #: Postings that a task packs at once, nodes of a chunk from which a shingle is sent once, texts that are hashed together (characters), pivots of a shingle and of a node, classes of the suffix filter.
-CHUNK, HOT, BATCH_CHARS, PIVOTS, PAIRS, CLASSES = 3_000_000, 8, 1 << 21, 3, 2, 16
+CHUNK, HOT, BATCH_CHARS, PIVOTS, PAIRS, CLASSES = 3_000_000, 8, 1 << 20, 3, 2, 16
 #: Bytes of text for a range of hashes: the least, the most, and so many ranges in between; postings of a chunk for each range, up to a multiple of ``CHUNK``.
 RANGE_BYTES, MOST_RANGE_BYTES, RANGES, ROW, MOST_CHUNK = 4_000_000, 64_000_000, 50_000, 60, 4
 DOC, NODES, POSTINGS, SHARED = 0, 1, 2, 3
@@ -89,6 +89,16 @@ def _packed(sets: list[np.ndarray], digests: list[bytes], ranges: int) -> Iterat
         yield POSTINGS, int(i), chunk, squeeze(np.diff(part, prepend=np.uint64(0))), squeeze(owners[cuts[i] : cuts[i + 1]]), b""
 
 
+def _freed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def freed(group: pa.Table) -> pa.Table:
+        out = run(group)
+        del group
+        release()
+        return out
+
+    return freed
+
+
 def _answers(group: pa.Table) -> pa.Table:
     """Of one range: for each chunk its postings of shingles that are in more than one set, with the number of sets."""
     group = group.combine_chunks()
@@ -151,8 +161,9 @@ def _shared(num: int, den: int):
         tokens, owners = tokens[order], owners[order]
         at = np.flatnonzero(good)
         offsets = np.concatenate(([0], np.cumsum(have[at])))
-        whose = (np.cumsum(good) - 1)[owners]
-        classes = (tokens % np.uint64(CLASSES)).astype(np.int64)
+        whose = (np.cumsum(good, dtype=np.int32) - 1)[owners]
+        classes = (tokens % np.uint64(CLASSES)).astype(np.int32)
+        del order, counts
         total = np.bincount(whose * CLASSES + classes, minlength=len(at) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
         head = np.flatnonzero(np.arange(len(tokens)) - offsets[whose] < (prefix - (sizes - have))[owners])
         seen = np.zeros((len(head), CLASSES), np.int32)
@@ -204,6 +215,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, c
                     held = 0
         if sets:
             yield from flush()
+        sets.clear()
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.char_length(text_col), F.lit(0)).alias("size"))
     return rows.mapInArrow(run, f"kind int, group int, chunk long, a binary, b binary, c binary, id {id_type.simpleString()}, node binary, n int")
@@ -277,10 +290,10 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, size: int = SIZ
     ranges = max(ranges, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // 1_000_000))
     rows = _rows(docs, id_col, text_col, size, ranges, min(max(CHUNK, ROW * ranges), MOST_CHUNK * CHUNK))
     schema = rows.schema
-    answered = materialize(rows.groupBy("group").applyInArrow(_answers, schema))
+    answered = materialize(rows.groupBy("group").applyInArrow(_freed(_answers), schema))
     named = answered.filter(F.col("kind") == DOC).select("id", "node", "n")
     nodes = materialize(named.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
-    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_shared(num, den), "node binary, n int, tokens array<long>, rest array<array<int>>")
+    sets = answered.filter(F.col("kind") != DOC).select("kind", "chunk", "a", "b", "c").groupBy("chunk").applyInArrow(_freed(_shared(num, den)), "node binary, n int, tokens array<long>, rest array<array<int>>")
     name = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("digest"))
     sets = materialize(sets.dropDuplicates(["node"]).join(nodes, "node").withColumn("node", name).drop("least", "rows"))
     labels = links(sets, num, den).select(F.col("node.digest").alias("node"), F.col("component.id").alias("component_id"), F.lit(True).alias("linked"))

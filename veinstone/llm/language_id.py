@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.llm.common import release
+
 ORDERS = (3, 4)
 #: Cells of the filters and look-ups for an n-gram.
 CELLS, PROBES = 1 << 20, 2
@@ -195,6 +197,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
         for batch in batches:
             langs, scores = known.value.decide(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "pred__", "score__"])
+        release()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text__"), F.col(id_col).alias("id__"), *(F.col(c).alias(f"keep__{c}") for c in keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", pred__ string, score__ double"

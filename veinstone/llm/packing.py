@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veinstone.llm.common import release
+
 #: Remembered encodings of a worker, ids packed together before they are written, and sequences' tokens in a step group.
 MEMORY, BLOCK_IDS, STEP_TOKENS = 250_000, 4_000_000, 16_384
 TIERS = (2048, 1024, 512, 256)
@@ -198,6 +200,8 @@ def pack(
                     ids, packed, held = [], [], 0
         if ids:
             yield rows(ids, packed, base, groups)[0]
+        del ids, packed
+        release()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
