@@ -47,6 +47,11 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+def sql_escape(text: Column) -> Column:
+    """Single quotes doubled, as in SQL literals."""
+    return F.replace(text, F.lit("'"), F.lit("''"))
+
+
 def html_text(html: Column) -> Column:
     """Text of HTML: script, style and comments go, tags leave nothing behind, the five XML entities and no-break spaces are resolved."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")

@@ -10,9 +10,15 @@ SECTOR_YEAR = ["sector_id", "year"]
 
 
 def percent_of_most(df: DataFrame, *by: str) -> DataFrame:
+    """``score_normalized``: percent of the group's highest score. For aggregates, a few rows to a group."""
     return df.withColumn("score_normalized", F.col("score") * 100 / F.max("score").over(W.partitionBy(*by)))
 
 
+def percent_of_most_rows(df: DataFrame, *by: str) -> DataFrame:
+    """The same for rows of few large groups: their maxima are aggregated before the shuffle and joined back."""
+    return df.join(df.groupBy(*by).agg(F.max("score").alias("most")), list(by)).withColumn("score_normalized", F.col("score") * 100 / F.col("most")).drop("most")
+
+
 def documents_of_sectors(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*SECTOR_YEAR).agg(F.count("*").alias("n_documents"))
 
@@ -25,10 +31,18 @@ def sector_stats(insights: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
     return percent_of_most(stats, *SECTOR_YEAR)
 
 
+REPORT = ["sector_id", "company_name", "year", "document_id", "content_type", "esg_category_name", "exposure_path_id", "exposure_path_name"]
+
+
 def report_exposure(insights: DataFrame) -> DataFrame:
     """Per sector, company, year, document and pathway: insights, mean score and its percentage of the document's highest."""
-    by = ["sector_id", "company_name", "year", "document_id", "content_type", "esg_category_name", "exposure_path_id", "exposure_path_name"]
-    return percent_of_most(insights.groupBy(*by).agg(F.count("*").alias("cluster_count"), F.avg("score").alias("score")), "document_id")
+    return percent_of_most(insights.groupBy(*REPORT).agg(F.count("*").alias("cluster_count"), F.avg("score").alias("score")), "document_id")
+
+
+def report_exposure_all(insights: DataFrame, types: DataFrame) -> DataFrame:
+    """The report of all sectors and years: insights and their mean normalised score, with the kind of document."""
+    rows = insights.groupBy(*REPORT).agg(F.count("*").alias("cluster_count"), F.avg("score_normalized").alias("score_normalized"))
+    return rows.join(F.broadcast(types), "content_type")
 
 
 def unique_keywords(insights: DataFrame) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veinstone.sources.sinks import materialize
+
 
 def factorize(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Numbers distinct values from 0 by where they first appear."""
+    """Numbers distinct values from 0 by where they first appear.
+
+    Values are sorted by ranges; each range numbers its own and adds what the ranges before it hold, so no task has
+    all of them. The sizes of the ranges are the only rows that come together.
+    """
     first = df.groupBy(value).agg(F.min(order).alias("first"))
-    return first.withColumn("code", (F.row_number().over(W.orderBy("first", value)) - 1).cast("long"))
+    ranged = materialize(first.repartitionByRange("first", value).withColumn("range", F.spark_partition_id()))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(W.partitionBy("range").orderBy("first", value)) - 1
+    return ranged.join(F.broadcast(sizes), "range").withColumn("code", (own + F.col("before")).cast("long")).select(value, "first", "code")
 
 
 def allocate(df: DataFrame, by: list[str], change: str, weight: str) -> DataFrame:
@@ -39,14 +49,37 @@ def errors(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return df.agg(F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def train_regression(df: DataFrame, features: list[str], label: str, held_out: float = 0.33, seed: int = 33) -> DataFrame:
-    """Errors of boosted trees and a linear model on a held-out share. Spark has no dense network for regression: these stand in for it."""
+def held_out(*key: str) -> Column:
+    """Whether a row is held out: 85 of 256 values of a byte of its key's hash, so the split is the same in every run."""
+    return F.substring(F.md5(F.concat_ws("|", *key)), 1, 2) < "55"
+
+
+def linear_fit(df: DataFrame, feature: str, label: str, key: list[str]) -> DataFrame:
+    """Least squares of ``label`` by one feature on the rows that aren't held out, and its errors on those that are."""
+    rows = df.na.drop(subset=[feature, label]).withColumn("held", held_out(*key))
+    fit = rows.filter(~F.col("held")).agg(F.regr_slope(label, feature).alias("slope"), F.regr_intercept(label, feature).alias("intercept"), F.count("*").alias("n_train"))
+    guessed = rows.filter("held").crossJoin(F.broadcast(fit)).withColumn("guess", F.col("slope") * F.col(feature) + F.col("intercept"))
+    d = F.col(label) - F.col("guess")
+    return guessed.agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"))
+
+
+def tune_regression(df: DataFrame, features: list[str], label: str, key: list[str], seed: int = 33) -> DataFrame:
+    """``model, n_train, n_test, candidates, mae, mse, rmse``: boosted trees, tuned over a grid on part of the training rows, and
+    a linear model. Spark has no dense network for regression: these stand in for it."""
+    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
-
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.na.drop(subset=[*features, label])).select("features", F.col(label).alias("label"))
-    train, test = rows.randomSplit([1 - held_out, held_out], seed)
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    rows = materialize(df.na.drop(subset=[*features, label]).select(*(F.col(c).cast("double").alias(c) for c in [*features, label]), held_out(*key).alias("held")))
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", F.col(label).alias("label"), "held")
+    train, test = rows.filter(~F.col("held")), rows.filter("held")
+    sizes = train.count(), test.count()
+    trees, linear = GBTRegressor(maxIter=5, seed=seed), LinearRegression()
+    grids = {"trees": (trees, ParamGridBuilder().addGrid(trees.maxDepth, [2, 3]).addGrid(trees.stepSize, [0.1, 0.3]).build()), "linear": (linear, ParamGridBuilder().addGrid(linear.regParam, [0.01, 0.1]).build())}
     made = []
-    for name, model in (("linear", LinearRegression(regParam=0.01)), ("trees", GBTRegressor(maxIter=10, seed=seed))):
-        made.append(errors(model.fit(train).transform(test), "label", "prediction").select(F.lit(name).alias("model"), "mae", "mse", "rmse"))
+    for name, (model, grid) in grids.items():
+        best = TrainValidationSplit(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mae"), trainRatio=0.8, seed=seed).fit(train)
+        about = [F.lit(name).alias("model"), *(F.lit(n).cast("long").alias(c) for n, c in zip((*sizes, len(grid)), ("n_train", "n_test", "candidates"), strict=True))]
+        made.append(errors(best.transform(test), "label", "prediction").select(*about, "mae", "mse", "rmse"))
     return made[0].union(made[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +20,19 @@ def top(df: DataFrame, order: list[Column], most: int) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Rank of each row's ``value`` within ``by``; equal values share the mean of their ranks."""
-    w, ties = W.partitionBy(by).orderBy(value), W.partitionBy(by, value)
-    return df.withColumn("average_rank", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    """``by, value, average_rank, n``: the mean rank of rows with equal ``value`` within ``by``. Rows are counted first, so the window sees distinct values."""
+    n = df.groupBy(by, value).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return n.withColumn("average_rank", before + 1 + (F.col("n") - 1) / 2)
+
+
+def versus(company: DataFrame, sector: DataFrame, names: dict[str, str], what: list[str], most: int = 10) -> DataFrame:
+    """``side, rank, name, score``: the highest ``most`` rows of each company in ``names`` (by side) and of the sector, side by side."""
+    order = [F.desc("score"), F.col("name")]
+    rows = lambda df: df.select(F.concat_ws("/", *what).alias("name"), "score")
+    sides = {side: rows(company.filter(F.col("company_name") == n)) for side, n in names.items()} | {"sector": rows(sector)}
+    made = [top(df, order, most).select(F.lit(side).alias("side"), "rank", "name", "score") for side, df in sides.items()]
+    return reduce(DataFrame.unionAll, made)
 
 
 def pct_change(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -58,11 +70,41 @@ def chart_top10(exposures: DataFrame, controls: DataFrame) -> DataFrame:
 
 
 def triangulation(ei: DataFrame, em: DataFrame, im: DataFrame) -> DataFrame:
-    """For each company, year and pathway the three pair scores, each in percent of the sector year's highest company mean."""
+    """For each company, year and pathway the three pair scores, each in percent of the sector year's highest company mean, and
+    the sector's, in percent of the sector year's highest pathway mean."""
     key = ["company_name", "sector_id", "year", "exposure_path_name"]
 
-    def one(df: DataFrame, name: str) -> DataFrame:
-        rows = df.groupBy(*key).agg(F.avg("score").alias("s"))
-        return rows.select(*key, (F.col("s") * 100 / F.max("s").over(W.partitionBy("sector_id", "year"))).alias(name))
+    def one(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sums = df.groupBy(*key).agg(F.sum("score").alias("sum"), F.count("*").alias("n"))  # both means come from these
+        most = W.partitionBy("sector_id", "year")
+        company = sums.withColumn("s", F.col("sum") / F.col("n"))
+        sector = sums.groupBy(*key[1:]).agg((F.sum("sum") / F.sum("n")).alias("s"))
+        return company.select(*key, (F.col("s") * 100 / F.max("s").over(most)).alias(f"company_{name}")), sector.select(*key[1:], (F.col("s") * 100 / F.max("s").over(most)).alias(f"sector_{name}"))
+
+    (c1, s1), (c2, s2), (c3, s3) = one(ei, "ei"), one(em, "em"), one(im, "im")
+    return c1.join(c2, key).join(c3, key).join(s1, key[1:]).join(s2, key[1:]).join(s3, key[1:])
+
+
+def sector_companies(docs: DataFrame, sectors: DataFrame, sector: str) -> DataFrame:
+    """The companies that a selector offers once a sector is chosen."""
+    return docs.join(F.broadcast(sectors.filter(F.col("sector_name") == sector)), "sector_id").select("company_name").dropDuplicates()
+
+
+def complete(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet the condition and have no null in any column."""
+    return df.filter(condition).na.drop("any")
+
+
+def shown(df: DataFrame, digits: int = 2) -> DataFrame:
+    """All doubles rounded half to even, as tables show them."""
+    return df.select(*(F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """All doubles rounded to whole numbers, as charts show them."""
+    return df.select(*(F.round(c, 0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
 
-    return one(ei, "company_ei").join(one(em, "company_em"), key).join(one(im, "company_im"), key)
+def metrics(financials: DataFrame, company: str, year: int) -> DataFrame:
+    """A company's financial metrics of a year."""
+    return financials.filter((F.col("company_name") == company) & (F.col("reporting_year") == year))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from veinstone.operators import mlprep as M
 from veinstone.operators import proximity as P
 from veinstone.operators import serving as V
 from veinstone.operators import status as U
-from veinstone.sources import edgar, star
+from veinstone.sources import edgar, sinks, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Small inputs of queries without a table.
@@ -30,9 +31,15 @@ INDEX = ["Description: Master Index", "--------", "1000045|NAME, INC|10-K|2022-0
 FILINGS = [
     (1, "COMPANY CONFORMED NAME:\t\tACME WIDGET CORP\nSTANDARD INDUSTRIAL CLASSIFICATION:  OIL & GAS [1311]\nSTATE:\tDE\nZIP: 12345\n<DOCUMENT>\nIndex.\nItem 1. Business\nItem 1A. Risks\nItem 7. Talk\n.\nItem 1. We sell\nwidgets.\nItem 1A. Risk &amp; more.\nItem 7. Growth.\n</DOCUMENT>"),
     (2, "COMPANY CONFORMED NAME: BETA\nCOMPANY CONFORMED NAME: BETA HOLDING\nFORM TYPE: 10-K\nACCESSION NUMBER: 9\nNo items here."),
-    (3, "IRS NUMBER: 55\nCITY:\t SAN JOSE\n<DOCUMENT><p>a.</p>\nItem 7A. Only\n</DOCUMENT>"),
+    (3, "IRS NUMBER: 55\nCITY:\t SAN JOSE\n<DOCUMENT><p>a.</p>\nItem 7A. Only\nCITY: BODY\n</DOCUMENT>"),
+    (4, "CITY: REAL\n<DOCUMENT>\nx.\nItem 2. a\nItem 2. b.\nItem 2. c.\n</DOCUMENT>"),
+    (5, "<DOCUMENT>\nx.\nItem 9B. Other.\nItem 9C. Foreign.\nItem 1. a.\nItem 1. b.\nItem 1. c.\nItem 8. d.\nItem 8. e.\nItem 8. f.\nItem 3. g.\nItem 3. h.\nItem 3. i.\n</DOCUMENT>"),
 ]
+#: Industries by code, and the names of financial metrics.
+INDUSTRIES = [(1000, "Oil and Gas"), (1001, "Oil Refining"), (1002, "Banks"), (1003, "Hospitals")]
+METRICS = ("assets", "liabilities", "equity", "revenue", "operating_expenses", "operating_income_ebitda", "net_income", "eps", "cash_flow_operations", "cash_flow_investing", "free_cash_flow", "cash_flow_financing", "stock_price_calender_year_end", "pe_ratio", "return_on_asset", "beta_calender_year_end", "sharpe_ratio")
 _hits: dict[tuple, DataFrame] = {}
+_kept: dict[str, DataFrame] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -43,9 +50,9 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all terms, kept in memory and on disk while they are used: the texts are read and split once for all queries of a table.
 
-    Only the last table's are kept. Lost blocks come back from the texts.
+    Only the last table's are kept, until its files change. Lost blocks come back from the texts.
     """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, changed(spark, f"{sf_dir}/documents.parquet"))
     if key not in _hits:
         forget_places()
         docs = star.documents(spark, sf_dir)
@@ -53,20 +60,34 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits[key]
 
 
+def changed(spark: SparkSession, path: str) -> int:
+    """When the file or folder ``path`` changed last."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getModificationTime()
+
+
 def forget_places() -> None:
-    for old in _hits.values():
-        old.unpersist()
-    _hits.clear()
+    for kept in (_hits, _kept):
+        for old in kept.values():
+            old.unpersist()
+        kept.clear()
 
 
 def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """A table that lies in few files is dealt out to all cores before its texts are split; one in many files stays where it is."""
     n = spark.sparkContext.defaultParallelism
-    return docs.repartition(n) if len(docs.inputFiles()) < n else docs
+    return docs.repartition(n) if docs.select(F.input_file_name()).distinct().limit(n).count() < n else docs
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure and internalization insights, normalised by document."""
+    """Exposure and internalization insights, normalised by document; kept beside the places that they come from."""
+    places(spark, sf_dir)
+    if "insights" not in _kept:
+        _kept["insights"] = _insights(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept["insights"]
+
+
+def _insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_document_norm(P.two_factor(places(spark, sf_dir).filter("dictionary_type <> 1002")), "dictionary_type")
 
 
@@ -141,7 +162,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = K.tokens(star.documents(spark, sf_dir).select("document_id", "text"))
+    t = K.tokens(spread(spark, star.documents(spark, sf_dir).select("document_id", "text")))
     return t.groupBy("document_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("word") == "").alias("n_empty"), F.countDistinct(F.upper("word")).alias("n_distinct"))
 
 
@@ -160,7 +181,7 @@ def keyword_hits_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = K.related_words(star.documents(spark, sf_dir).select("document_id", "text"), star.terms(spark))
+    found = K.related_words(spread(spark, star.documents(spark, sf_dir).select("document_id", "text")), star.terms(spark))
     return K.resolve(found, star.frame(spark, CONTEXT, "key_word string, related string, action string"))
 
 
@@ -188,8 +209,9 @@ def keyword_hits_included(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_hits_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = K.hits(K.positions(star.documents(spark, sf_dir).select("document_id", "text"), star.terms(spark, NESTED)))
-    return K.merged(found).select("document_id", "dictionary_id", "key_word", "merged_with", "frequency", F.array_join("locations", ",").alias("locations"))
+    terms = star.terms(spark, NESTED)
+    found = K.hits(K.positions(spread(spark, star.documents(spark, sf_dir).select("document_id", "text")), terms))
+    return K.merged(found, terms).select("document_id", "dictionary_id", "key_word", "merged_with", "frequency", F.array_join("locations", ",").alias("locations"))
 
 
 # ---- insights
@@ -236,7 +258,13 @@ def sector_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def exposure_sector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exposures(spark, sf_dir).select("document_id", "sector_id", "year", "key_word1", "key_word2", "score")
-    return rounded(A.percent_of_most(rows, "sector_id", "year"))
+    return rounded(A.percent_of_most_rows(rows, "sector_id", "year"))
+
+
+@query
+def mit_exp_sector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = about(spark, sf_dir, mit_exp(spark, sf_dir)).select("document_id", "sector_id", "year", "term_id1", "term_id2", "mitigation_term_id", "score")
+    return rounded(A.percent_of_most_rows(rows, "sector_id", "year"))
 
 
 @query
@@ -345,8 +373,7 @@ def top10_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def avg_rank_pathways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exposures(spark, sf_dir).select("document_id", "company_name", "exposure_path_name")
-    return V.average_rank(rows, "company_name", "exposure_path_name").groupBy("company_name", "exposure_path_name").agg(F.max("average_rank").alias("average_rank"), F.count("*").alias("n"))
+    return V.average_rank(exposures(spark, sf_dir), "company_name", "exposure_path_name")
 
 
 @query
@@ -389,10 +416,97 @@ def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.review_flags(star.documents(spark, sf_dir))
 
 
+STAGES = (*U.SEARCHES, *U.INSIGHTS)
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with nine stages and three validations, made up from their ids."""
+    d = star.documents(spark, sf_dir, text=False)
+    state = lambda k: (F.floor(F.col("document_id") / k) % 3).cast("int")
+    stages = {s: state(i + 1) for i, s in enumerate(STAGES)} | {f"{f}_validation": state(20 + i) for i, f in enumerate(U.FLAGS)}
+    return d.select("document_id", "company_name", "year", "sector_id").withColumns(stages)
+
+
 @query
 def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document is loaded again: its stages are pending, its batch is the next one."""
+    current = _staged(spark, sf_dir).withColumn("batch_id", F.lit(7)).drop(*(f"{f}_validation" for f in U.FLAGS))
+    return U.load(current, current.filter("document_id % 7 = 0").drop("batch_id", *STAGES), STAGES, 8)
+
+
+@query
+def all_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.all_counters(_staged(spark, sf_dir))
+
+
+@query
+def gated_worklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.gated(_staged(spark, sf_dir))
+
+
+@query
+def validation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New words are written for every fourth document, every tenth fails, and then the review ends."""
+    docs = _staged(spark, sf_dir)
+    waiting = U.validation_generated(docs, docs.filter("document_id % 4 = 0"), "exposure")
+    failed = U.validation_failed(waiting, docs.filter("document_id % 10 = 0"), "mitigation")
+    done = U.validation_completed(failed)
+    before = failed.select("document_id", *(F.col(f"{f}_validation").alias(f"{f}_before") for f in U.FLAGS))
+    return before.join(done.select("document_id", *(f"{f}_validation" for f in U.FLAGS)), "document_id")
+
+
+def _types(spark: SparkSession) -> DataFrame:
+    return star.frame(spark, U.DOCUMENT_TYPES, "content_type int, document_type string")
+
+
+@query
+def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = star.documents(spark, sf_dir, text=False)
-    return U.upsert(d.withColumn("state", F.lit("old")), d.filter("document_id % 7 = 0").withColumn("state", F.lit("new")), "document_id").groupBy("state", "year").agg(F.count("*").alias("documents"))
+    kinds = F.get(F.array(F.lit("pdf"), F.lit("webpage"), F.lit("file")), (F.col("document_id") % 3).cast("int"))
+    sources = d.withColumns({"unique_id": F.col("document_id"), "processed_ind": (F.col("document_id") % 4).cast("int"), "source_type": kinds, "source_url": F.concat(F.lit("https://example.org/"), F.col("document_id").cast("string"))})
+    return U.source_view(U.pending_sources(sources, _types(spark)))
+
+
+@query
+def company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of even years are known, numbered by name and year."""
+    d = star.documents(spark, sf_dir, text=False)
+    known = d.filter("year % 2 = 0").select(F.col("company_name").alias("conformed_name"), F.col("year").alias("reporting_year"))
+    companies = U.batch_ids(known, ["conformed_name", "reporting_year"]).withColumnRenamed("batch_id", "company_id")
+    return U.company_ids(d, companies).select("document_id", "company_id")
+
+
+@query
+def unmapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.unmapped(star.documents(spark, sf_dir, text=False), star.sectors(spark).filter("sector_id <> 3"), "sector_id").select("document_id", "sector_id")
+
+
+@query
+def filings_by_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    industries = star.frame(spark, INDUSTRIES, "sic_code int, industry_title string")
+    d = star.documents(spark, sf_dir, text=False).withColumns({"sic_code": F.col("sector_id") + 1000, "quarter": (1 + F.col("document_id") % 4).cast("int")})
+    rows = d.filter("year = 2016 AND content_type = 2 AND quarter = 2").join(F.broadcast(industries.filter(F.startswith("industry_title", F.lit("Oil")))), "sic_code")
+    return rows.select("document_id", "sic_code", "industry_title", "company_name")
+
+
+@query
+def sector_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sector_companies(star.documents(spark, sf_dir, text=False), star.sectors(spark), "Finance")
+
+
+@query
+def first_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five entries of the look-up table, by id."""
+    rows = star.sectors(spark).select(F.col("sector_id").alias("lookup_id"), F.col("sector_name").alias("description"))
+    return rows.union(_types(spark).select(F.col("content_type") + 100, "document_type")).orderBy("lookup_id").limit(5)
+
+
+@query
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day: the day as a number, and the file name that an export of it has."""
+    day = F.date_format("ts", "yyyyMMdd")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(day.alias("day")).agg(F.count("*").alias("events"))
+    return rows.select(F.col("day").cast("int").alias("day"), F.concat(F.lit("events_"), F.col("day"), F.lit(".csv")).alias("file_name"), "events")
 
 
 @query
@@ -430,29 +544,65 @@ def edgar_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edgar.parse_index(star.frame(spark, [(x,) for x in INDEX], "line string"))
 
 
-def _filings(spark: SparkSession) -> DataFrame:
-    return star.frame(spark, FILINGS, "filing_id long, content string")
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some filings as constants, and one around the text of each document."""
+    d = star.documents(spark, sf_dir)
+    i = F.col("document_id").cast("string")
+    toc = F.lit("\n<DOCUMENT>\nIndex.\nItem 1. Business\nItem 1A. Risks\nItem 9C. Other\n.\nItem 1. ")
+    end = F.when(F.col("document_id") % 5 == 0, F.lit(".\nItem 9A. a.\nItem 9A. b.\nItem 9A. c.\nCITY: BODY\n</DOCUMENT>")).otherwise(F.lit(".\n</DOCUMENT>"))
+    content = F.concat(F.lit("COMPANY CONFORMED NAME:\t"), "company_name", F.lit("\nCITY: C"), i, toc, F.coalesce("text", F.lit("")), F.lit(".\nITEM 1A. Risk of "), i, end)
+    return star.frame(spark, FILINGS, "filing_id long, content string").union(d.select(F.col("document_id") + 1000, content))
 
 
 @query
 def tenk_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.header_fields(_filings(spark))
+    """Headers, written to their table and read back."""
+    path = sinks.scratch(spark)
+    sinks.write_headers(X.header_fields(_filings(spark, sf_dir)), path)
+    return spark.read.parquet(path)
 
 
 @query
 def tenk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.sections(_filings(spark))
+    return X.sections(_filings(spark, sf_dir)).select("filing_id", "status", "item", "start", F.md5("section").alias("section_md5"))
 
 
 @query
 def tenk_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.wide(X.sections(_filings(spark)))
+    rows = X.wide(X.sections(_filings(spark, sf_dir)))
+    return rows.select("filing_id", *(F.md5(c).alias(c) for c in rows.columns[1:]))
+
+
+@query
+def tenk_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = _filings(spark, sf_dir)
+    return X.assembled(X.header_fields(filings), X.sections(filings)).select("filing_id", F.char_length("xml").cast("long").alias("n_chars"), F.md5("xml").alias("xml_md5"))
+
+
+@query
+def tenk_last_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.last_items(_filings(spark, sf_dir))
 
 
 @query
 def extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = X.sections(_filings(spark)).groupBy("filing_id").agg(F.bool_and(F.col("item") == "0").alias("zero"))
-    return parts.groupBy(F.when(F.col("zero"), "item zero").otherwise("full").alias("status")).agg(F.count("*").alias("filings"))
+    return X.status_counts(X.sections(_filings(spark, sf_dir)))
+
+
+@query
+def dictionary_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review lines in a file, merged into a dictionary that has a version already; the file is gone then."""
+    base = sinks.scratch(spark)
+    star.frame(spark, CURRENT, "key_word string, related string, action string").write.parquet(f"{base}/dictionary/version={1:09d}")
+    star.frame(spark, [(x,) for x in REVIEW], "line string").coalesce(1).write.text(f"{base}/inbox")
+    applied = D.apply_files(spark, f"{base}/dictionary", f"{base}/inbox")
+    again = D.apply_files(spark, f"{base}/dictionary", f"{base}/inbox")
+    return D.read(spark, f"{base}/dictionary").withColumns({"applied": F.lit(applied), "again": F.lit(again)})
+
+
+@query
+def review_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.listing(D.parse_review(star.frame(spark, [(x,) for x in REVIEW], "line string")))
 
 
 @query
@@ -510,10 +660,183 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def telemetry_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.documents(spark, sf_dir, text=False).groupBy("company_name").agg(F.count("*").alias("records"))
-    return rows.withColumn("rating", T.rating(F.col("records")))
+    """Events by type: how many, over how long, and the rate's band. An hour stands for a second, the events are sparse."""
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("records"), (F.max(ts) - F.min(ts)).alias("seconds"))
+    rate = F.try_divide("records", "seconds")
+    return rounded(rows.withColumns({"per_second": rate, "ms_per_record": F.try_divide(F.col("seconds") * 1000, F.col("records")), "rating": T.rating(rate)}))
 
 
 @query
 def train_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.train_regression(_change(spark, sf_dir).withColumn("place", F.crc32("exposure_path_name") % 2), ["ei", "year", "place"], "change")
+    return rounded(M.linear_fit(_change(spark, sf_dir), "ei", "change", ["company_name", "year", "exposure_path_name"]))
+
+
+@query
+def tune_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows and candidates there were, and whether the errors are numbers; what they are depends on the models."""
+    rows = _change(spark, sf_dir).withColumn("place", F.crc32("exposure_path_name") % 2)
+    made = M.tune_regression(rows, ["ei", "year", "place"], "change", ["company_name", "year", "exposure_path_name"])
+    return made.select("model", "n_train", "n_test", "candidates", ((F.col("mae") <= F.col("rmse")) & (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) < 1e-6)).alias("consistent"))
+
+
+# ---- sinks
+
+
+@query
+def hits_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all documents; a second run replaces every third document's exposure hits by those in its first 50 words."""
+    table = sinks.hits_table(spark, sinks.scratch(spark))
+    table.write(1, K.hits(places(spark, sf_dir)))
+    again = star.documents(spark, sf_dir, text=False).filter("document_id % 3 = 0").select("document_id", F.lit(1000).alias("dictionary_type"))
+    table.write(2, K.hits(places(spark, sf_dir).filter("document_id % 3 = 0 AND dictionary_type = 1000 AND pos <= 50")), again)
+    return _hit_rows(table.read())
+
+
+@query
+def insight_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six insight tables, after every fifth document is deleted from them. Documents without a name aren't saved with exposure-internalization pairs."""
+    store = sinks.InsightStore(spark, sinks.scratch(spark))
+    named = F.when(F.col("document_id") % 11 != 0, F.concat_ws(" ", F.lit("document"), F.col("document_id").cast("string")))
+    rows = {
+        "exposure": insights(spark, sf_dir).filter("dictionary_type = 1000"), "internalization": insights(spark, sf_dir).filter("dictionary_type = 1001"),
+        "mitigation_exposure": mit_exp(spark, sf_dir), "mitigation_internalization": mit_int(spark, sf_dir),
+        "exposure_internalization": exp_int(spark, sf_dir).withColumn("document_name", named), "mitigation_exposure_internalization": mit_exp_int(spark, sf_dir),
+    }
+    for name, df in rows.items():
+        store.save(1, name, df)
+    store.delete_documents(2, star.documents(spark, sf_dir, text=False).filter("document_id % 5 = 0"))
+    sums = [store.read(n).agg(F.lit(n).alias("table_name"), F.count("*").alias("rows"), F.countDistinct("document_id").alias("documents"), F.round(F.sum("score"), 3).alias("score")) for n in rows]
+    return reduce(DataFrame.unionAll, sums)
+
+
+@query
+def csv_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The year-over-year chart written as CSV; two of its columns read back under other names."""
+    path = sinks.scratch(spark)
+    sinks.write_csv(rounded(V.chart_yoy(exposures(spark, sf_dir))), path)
+    schema = "company_name string, sector_id int, year int, exposure_path_name string, exposure_score double, exposure_score_normalized double"
+    return sinks.read_csv(spark, path, schema, {"company_name": "company", "year": "year", "exposure_score": "ei"})
+
+
+@query
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sheets of a file-backed dashboard, stacked."""
+    path = sinks.scratch(spark)
+    yoy = rounded(V.chart_yoy(exposures(spark, sf_dir)))
+    sinks.write_csv(yoy.select("company_name", "year", F.col("exposure_score").alias("value")), f"{path}/yoy")
+    sinks.write_csv(yoy.select("company_name", "year", F.col("exposure_score_normalized").alias("value")), f"{path}/normalized")
+    sheets = sinks.read_workbook(spark, path, dict.fromkeys(("yoy", "normalized"), "company_name string, year int, value double"))
+    return reduce(DataFrame.unionAll, (df.withColumn("sheet", F.lit(n)) for n, df in sheets.items()))
+
+
+@query
+def archived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch(spark)
+    sinks.archive(star.documents(spark, sf_dir).select("document_id", "text"), path)
+    return sinks.read_archive(spark, path, "document_id long, text string").select("document_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts with a form feed between turns, split into pages."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    texts = rows.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\f").alias("text"))
+    return edgar.pages(texts, "conv_id").select("conv_id", "page", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# ---- more reads
+
+
+@query
+def report_exposure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.report_exposure_all(exposures(spark, sf_dir), _types(spark)))
+
+
+@query
+def exposure_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One company's report rows of a kind of document, by score."""
+    rows = rounded(A.report_exposure(exposures(spark, sf_dir)).filter("company_name = 'src1' AND content_type = 1"))
+    order = [F.desc("score_normalized"), F.col("document_id"), F.col("exposure_path_id")]
+    return V.top_by(rows.select("company_name", "year", "document_id", "exposure_path_id", "cluster_count", "score_normalized"), ["company_name"], order, 1 << 30)
+
+
+@query
+def sector_exposure_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_sector(spark, sector_exposure(spark, sf_dir)).select("esg_category_name", "exposure_path_name", "cluster_count", "score_normalized")
+
+
+def _of_sector(spark: SparkSession, rows: DataFrame, sector: str = "Finance", year: int = 2016) -> DataFrame:
+    return rows.filter(F.col("year") == year).join(F.broadcast(star.sectors(spark).filter(F.col("sector_name") == sector)), "sector_id")
+
+
+@query
+def sector_internalization_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _of_sector(spark, sector_exp_int(spark, sf_dir)).select("esg_category_name", "exposure_path_name", "internalization_name", "cluster_count", "score_normalized")
+
+
+@query
+def sector_mitigation_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the mitigation's class and sub-class, which multiply a dictionary's insights."""
+    m = star.mitigations(spark).select(F.col("dictionary_id").alias("mitigation_dictionary"), "class_name", "sub_class_name")
+    t = star.terms(spark).select(F.col("term_id").alias("mitigation_term_id"), F.col("dictionary_id").alias("mitigation_dictionary"))
+    rows = exp_int_mit_rows(spark, sf_dir).join(F.broadcast(t), "mitigation_term_id").join(F.broadcast(m), "mitigation_dictionary")
+    by = ["esg_category_name", "exposure_path_name", "internalization_name", "class_name", "sub_class_name"]
+    stats = rounded(A.sector_stats(rows, star.documents(spark, sf_dir, text=False), by))
+    return _of_sector(spark, stats).select(*by, "cluster_count", "score_normalized")
+
+
+def _financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up metrics of companies and years, from the number of their documents."""
+    rows = star.documents(spark, sf_dir, text=False).groupBy("company_name", F.col("year").alias("reporting_year")).agg(F.count("*").alias("n"))
+    return rows.select("company_name", "reporting_year", *((F.col("n") * (i + 1) / 4).alias(m) for i, m in enumerate(METRICS)), F.concat(F.lit("X"), F.col("n").cast("string")).alias("exchange_ref"))
+
+
+@query
+def financial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.metrics(_financials(spark, sf_dir), "src1", 2016)
+
+
+@query
+def top10_versus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On three pages the ten highest rows of a company, a competitor and their sector, with ranks."""
+    m = star.mitigations(spark).select(F.col("dictionary_id").alias("mitigation_dictionary"), "class_name", "sub_class_name")
+    t = star.terms(spark).select(F.col("term_id").alias("mitigation_term_id"), F.col("dictionary_id").alias("mitigation_dictionary"))
+    classed = exp_mit_rows(spark, sf_dir).join(F.broadcast(t), "mitigation_term_id").join(F.broadcast(m), "mitigation_dictionary")
+    path = ["esg_category_name", "exposure_path_name", "year"]
+    pages = {"exposure": (exposures(spark, sf_dir), path), "internalization": (exp_int_rows(spark, sf_dir), [*path, "internalization_name"]), "mitigation": (classed, [*path, "class_name", "sub_class_name"])}
+    made = []
+    for page, (rows, by) in pages.items():
+        company, sector = (rounded(A.averages(rows, [*k, *by])) for k in (["company_name"], ["sector_id"]))
+        made.append(V.versus(company, sector.filter("sector_id = 1"), {"company": "src1", "competitor": "src5"}, by).withColumn("page", F.lit(page)))
+    return reduce(DataFrame.unionAll, made)
+
+
+@query
+def complete_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of scores from 2017 on, without rows that lack any value."""
+    return V.complete(score_pct_change(spark, sf_dir), F.col("year") >= 2017)
+
+
+@query
+def dash_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.shown(dash_exposure(spark, sf_dir))
+
+
+@query
+def api_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the in-process interface gives for a company and year, as (chart, pathway, measure, value)."""
+    from veinstone.plans import api
+
+    charts = {"triangle": api.triangle(spark, sf_dir, 2016, "src1"), "yoy": api.yoy(spark, sf_dir, "src1"), "control": api.exposure_control(spark, sf_dir, 2016, "src1"), "top10": api.top10(spark, sf_dir, 2016, "src1")}
+    long = lambda df: df.unpivot([c for c, t in df.dtypes if t != "double"], [c for c, t in df.dtypes if t == "double"], "measure", "value")
+    rows = [long(df.select("exposure_path_name", "year", *(c for c, t in df.dtypes if t == "double"))).select(F.lit(n).alias("chart"), "exposure_path_name", "year", "measure", "value") for n, df in charts.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+@query
+def escape_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sources escaped for XML and for SQL, and as they are."""
+    html = F.coalesce("html", F.lit(""))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(T.xml_escape(html)).alias("xml_md5"), F.md5(T.sql_escape(html)).alias("sql_md5"), F.md5(html).alias("text_md5"))

@@ -29,6 +29,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("pages", F.split("text", "\f"))
 
 
-def write_hits(hits: DataFrame, path: str) -> None:
-    """Hits by dictionary type; a run replaces the types that it has and leaves the others."""
-    hits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dictionary_type").parquet(path)
+def pages(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``page`` (from 1) and ``text`` of each page of ``texts``: pages end in form feeds."""
+    rows = texts.select(*keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f", -1)).alias("at", "page_text"))
+    return rows.select(*keep, (F.col("at") + 1).alias("page"), F.col("page_text").alias("text"))
