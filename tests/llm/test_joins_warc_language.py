@@ -226,3 +226,33 @@ def test_language_counts_exact():
     assert abs(hits[0][0] - total[0]) < 0.01 and hits[1][1] >= total[1] - 0.01 and hits[:, 2].max() < 0.01
     big = "word " * 500_000
     assert f.count([big])[0][0] == pytest.approx(f.count(["word " * 5])[0][0] * 100_000, rel=0.001)
+
+
+def test_filters_against_plain_sets():
+    """Counts and decisions of the bit-sliced filters against sets of n-grams, where no cell is shared by chance."""
+    rng = np.random.default_rng(31)
+    texts = {x: [" ".join("".join(rng.choice(list(letters), int(n))) for n in rng.integers(1, 9, 40)) for _ in range(6)] for x, letters in {"aa": "abcdeé", "bb": "cdefgh", "cc": "xyzab"}.items()}
+
+    def grams(text):
+        out = []
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f" {word} "
+            out += [padded[i : i + n] for n in language_id.ORDERS for i in range(len(padded) - n + 1)]
+        return out
+
+    hashes = {x: np.unique(language_id.ngrams(t)[0]) for x, t in texts.items()}
+    sets = {x: {g for s in t for g in grams(s)} for x, t in texts.items()}
+    assert {x: len(h) for x, h in hashes.items()} == {x: len(s) for x, s in sets.items()}
+    filters = language_id.Filters.build(list(texts), list(hashes.values()))
+    asked = [t for ts in texts.values() for t in ts] + ["abc xyz 12 cde", "", None, "123", "日本", "é"]
+    total, hits = filters.count(asked)
+    langs, scores = filters.decide(asked)
+    for i, t in enumerate(asked):
+        own = grams(t or "")
+        assert total[i] == len(own)
+        plain = [sum(g in sets[x] for g in own) for x in texts]
+        assert np.allclose(hits[:, i], plain, atol=0.01 * len(own) + 1e-9)
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (langs[i], scores[i]) == ("und", 0.0)
+        elif sorted(plain)[-1] > sorted(plain)[-2] + 0.02 * len(own):
+            assert langs[i] == list(texts)[int(np.argmax(plain))] and abs(scores[i] - max(plain) / len(own)) < 0.02

@@ -111,3 +111,49 @@ def test_url_collisions(monkeypatch, tmp_path):
     stem, _ = url_filters.build([("block", "ab.c", "/"), ("allow", "xy.z", "/"), ("block", "q.rs", "/")], str(tmp_path))
     array = url_filters.DigestArray(str(tmp_path / stem))
     assert [array.string(int(k)) if k >= 0 else None for k in array.find([b"xy.z/", b"q.rs/", b"no.o/", b"a"])] == [b"xy.z/", b"q.rs/", None, None]
+
+
+def test_merges_are_proved(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = open(vocabulary("byte_bpe_50k.json"), "rb").read()
+    assert packing.plain(spec)
+    conf = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None}
+    conf["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    letters = list(packing._byte_letters())
+    vocab = {c: i for i, c in enumerate(letters)}
+    make = lambda merges: json.dumps(conf | {"model": model | {"vocab": vocab | {a + b: 256 + i for i, (a, b) in enumerate(merges)}, "merges": [list(m) for m in merges]}}).encode()
+    good, bad = make([("a", "b"), ("b", "c"), ("ab", "c")]), make([("b", "c"), ("a", "b"), ("ab", "c")])  # "abc" never comes out of the second
+    assert packing.plain(good) and not packing.plain(bad)
+    library = Tokenizer.from_str(bad.decode())
+    assert np.frombuffer(packing.Library(bad).encode("abc abab"), "<u4").tolist() == library.encode("abc abab").ids
+    assert packing.Encoder(good).encode("abc abab") == packing.Library(good).encode("abc abab")
+    assert not packing.plain(json.dumps(json.loads(good) | {"normalizer": {"type": "Lowercase"}}).encode())
+
+
+def test_pack_with_the_library(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "plain", lambda spec: False)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:20])], "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, packing.pack(df, vocabulary("byte_bpe_50k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    slow = rows()
+    monkeypatch.undo()
+    assert rows() == slow
+
+
+def test_url_edges(spark):
+    schema = "page_id long, url string, host int"
+    long = "https://a.Example.ORG/en/" + "x" * 1_000_000
+    rows = [(1, long, 1), (1, long, 1), (None, "http://b.com/fr/", 1), (2, None, 1), (3, "", 1), (4, "://", 1), (5, "x://." + "a." * 300 + "org/", 1)]
+    got = url_filters.url_filters(spark.createDataFrame(rows, schema), URL_RULES).collect()
+    assert sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in got if r["rule"]) == [("1", "org/", "allow"), ("1", "org/", "allow"), ("5", "org/", "allow"), ("None", "com/fr/", "allow")]
+    assert len(got) == len(rows) and url_filters.url_filters(spark.createDataFrame([], schema), URL_RULES).count() == 0
+
+
+def test_url_rules_of_very_many_lengths(spark):
+    rules = [("block", "a.org", "/" + "p" * n) for n in range(2000)]
+    rows = [(n, f"http://a.org/{'p' * n}{'q' * (n % 2)}") for n in (0, 1, 2, 700, 1999, 2500)]
+    got = {r["page_id"]: r["rule"] for r in url_filters.url_filters(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {n: "a.org/" + "p" * min(n, 1999) for n, _ in rows}

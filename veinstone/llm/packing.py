@@ -10,6 +10,7 @@ Sequences of equal length are dealt to step groups of equal token budgets.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -30,25 +31,62 @@ TIERS = (2048, 1024, 512, 256)
 #: White space other than space and line feed; texts with it are encoded as a whole.
 _ODD = tuple(map(chr, (9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ready: dict[int, "Encoder"] = {}
+_ready: dict[int, "Encoder | Library"] = {}
+
+
+def merges_by_rank(spec: bytes) -> bool:
+    """Proves that merging by vocabulary ids gives what the merge list gives.
+
+    That holds if the merges' results have growing ids, and every piece of the vocabulary comes out of the model as just
+    itself: two neighbours whose union is a piece are then the last merge of that piece's own derivation.
+    """
+    from tokenizers import Tokenizer
+
+    conf = json.loads(spec)
+    model, special = conf["model"], {t["content"] for t in conf["added_tokens"]}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if any(x >= y for x, y in zip(made, made[1:], strict=False)) or (made and made[0] < 0):
+        return False
+    bpe = Tokenizer.from_str(spec.decode()).model
+    return all([t.id for t in bpe.tokenize(piece)] == [i] for piece, i in model["vocab"].items() if piece not in special)
+
+
+def plain(spec: bytes) -> bool:
+    """Whether a ``tokenizer.json`` is a byte-level BPE without normalisation, prefix, dropout or anything else that ``Encoder`` doesn't know."""
+    conf = json.loads(spec)
+    pre, model = conf.get("pre_tokenizer") or {}, conf["model"]
+    known = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True) and not conf.get("normalizer")
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    strict = all(not t.get(k) for t in conf["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+    return bool(known and not odd and strict and merges_by_rank(spec))
+
+
+class Library:
+    """Ids as the library gives them, for tokenizers of which ``plain`` proves nothing."""
+
+    def __init__(self, spec: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, text: str | None) -> bytes:
+        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Encoder:
-    """Ids of texts as packed little-endian unsigned 32-bit numbers, as a byte-level BPE ``tokenizer.json`` gives them.
+    """Ids of texts as packed little-endian unsigned 32-bit numbers, as a byte-level BPE ``tokenizer.json`` of which ``plain`` holds gives them.
 
     White space opens a pre-token and never follows another character in one, so a text is cut before each run
     of it, and each part has the same ids alone as in the text. Ids of parts are remembered.
     """
 
     def __init__(self, spec: bytes, memory: int = MEMORY):
-        import json
-
         import tiktoken
 
         conf = json.loads(spec)
-        pre = conf["pre_tokenizer"]
-        if conf["model"]["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or conf.get("normalizer"):
-            raise ValueError("a plain byte-level BPE is asked for")
         self.special = {t["content"]: t["id"] for t in conf["added_tokens"]}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in conf["model"]["vocab"].items() if piece not in self.special}
@@ -156,6 +194,7 @@ def pack(
     with open(tokenizer_path, "rb") as f:
         spec = f.read()
     known, key, end = docs.sparkSession.sparkContext.broadcast(spec), hash(spec), np.array([end_id], "<u4").tobytes()
+    kind_of_encoder = Encoder if plain(spec) else Library
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
     def rows(ids: list, packed: list[bytes], base: int, groups: dict[int, list[int]]) -> tuple[pa.RecordBatch, int]:
@@ -184,7 +223,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _ready:
             _ready.clear()
-            _ready[key] = Encoder(known.value)
+            _ready[key] = kind_of_encoder(known.value)
         encoder, base = _ready[key], TaskContext.get().partitionId() << 40
         groups: dict[int, list[int]] = defaultdict(list)
         groups[0] = [base]

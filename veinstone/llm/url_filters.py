@@ -9,7 +9,9 @@ key that is found is confirmed against the stored string, so collisions don't ma
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -20,8 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The largest artifact that is sent to executors, in bytes, and the most path lengths that rules may have.
-MAX_BYTES, MAX_LENGTHS = 4 << 30, 256
+#: Bytes of candidate strings that are looked up together.
+BATCH_BYTES = 16 << 20
 _FOLD = {c: c + 32 for c in range(65, 91)}
 _open: dict[str, "DigestArray"] = {}
 #: Arrays that an application has sent to its executors.
@@ -66,8 +68,6 @@ def build(rules: Sequence[tuple[str, str, str]], folder: str) -> tuple[str, list
     for action, host, path in rules:
         first.setdefault((host.translate(_FOLD) + path).encode(), action == "block")
         lengths.add(len(path))
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have paths of {len(lengths)} lengths; {MAX_LENGTHS} are allowed")
     order = sorted(first, key=lambda s: (xxhash.xxh64_intdigest(s), s))
     parts = {
         "keys": np.array([xxhash.xxh64_intdigest(s) for s in order], np.uint64),
@@ -76,8 +76,6 @@ def build(rules: Sequence[tuple[str, str, str]], folder: str) -> tuple[str, list
         "text": np.frombuffer(b"".join(order), np.uint8),
         "lengths": np.array(sorted(lengths), np.int64),
     }
-    if sum(x.nbytes for x in parts.values()) > MAX_BYTES:
-        raise ValueError("the rules are larger than MAX_BYTES")
     stem = xxhash.xxh64_hexdigest(b"".join(x.tobytes() for x in parts.values()))
     files = [os.path.join(folder, f"{stem}.{name}.npy") for name in parts]
     for file, part in zip(files, parts.values(), strict=True):
@@ -96,16 +94,33 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_FOLD), path
 
 
-def candidates(host: str, path: str, lengths: Sequence[int]) -> list[bytes]:
+def candidates(host: str, path: str, lengths: Sequence[int]) -> Iterator[bytes]:
     """Strings of all rules that would fit, the longest host first, for one host the longest path first."""
     if not host:
-        return []
+        return
     hosts, at = [host], host.find(".")
     while at >= 0:
         hosts.append(host[at + 1 :])
         at = host.find(".", at + 1)
-    paths = [path[:n] for n in reversed(lengths) if n <= len(path)]
-    return [(h + p).encode() for h in hosts if h for p in paths]
+    for h in hosts:
+        if h:
+            yield from ((h + path[:n]).encode() for n in reversed(lengths) if n <= len(path))
+
+
+def _asked(split: list[tuple[str, str]], lengths: Sequence[int]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The candidates of URLs with their places, about ``BATCH_BYTES`` at a time."""
+    places: list[int] = []
+    strings: list[bytes] = []
+    held = 0
+    for i, (host, path) in enumerate(split):
+        for s in candidates(host, path, lengths):
+            places.append(i)
+            strings.append(s)
+            held += len(s)
+            if held >= BATCH_BYTES:
+                yield places, strings
+                places, strings, held = [], [], 0
+    yield places, strings
 
 
 def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -114,9 +129,13 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
     A rule fits its host and all subdomains where the path starts with the rule's. The longest rule wins (host and
     path together, in characters; the longer host among equals). Where none fits, ``rule`` is null and the verdict is
     ``default``: the array has no entry for the URL. A null URL, or one without ``://``, has an empty host and fits
-    no rule. One row for each row, no shuffle; other columns are ignored. The rules are bounded by ``MAX_BYTES``.
+    no rule. One row for each row, repeated ones and null ids included, no shuffle; other columns are ignored. An empty
+    table gives no rows. The rules' files are mapped, not loaded: executors need disk for them, and pages of what they probe.
+    Candidates of a batch are looked up ``BATCH_BYTES`` at a time, so long URLs and many path lengths take time, not memory.
     """
-    stem, files = build(rules, tempfile.mkdtemp(prefix="rules-"))
+    folder = tempfile.mkdtemp(prefix="rules-")  # on the driver, which sends the files to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    stem, files = build(rules, folder)
     context = pages.sparkSession.sparkContext
     if (context.applicationId, stem) not in _sent:
         for file in files:
@@ -131,15 +150,15 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
         lengths = array.lengths.tolist()
         for batch in batches:
             split = [split_url(u.as_py()) for u in batch.column(1)]
-            asked = [candidates(h, p, lengths) for h, p in split]
-            found = array.find([s for a in asked for s in a])
-            names, verdicts, at = [], [], 0
-            for a in asked:
-                fits = found[at : at + len(a)]
-                at += len(a)
-                best = max((int(k) for k in fits if k >= 0), key=lambda k: len(array.string(k).decode()), default=-1)
-                names.append(array.string(best).decode() if best >= 0 else None)
-                verdicts.append(default if best < 0 else "block" if array.actions[best] else "allow")
+            best = np.full(len(split), -1, np.int64)
+            for places, strings in _asked(split, lengths):
+                found = array.find(strings)
+                for i in np.flatnonzero(found >= 0).tolist():
+                    k, at = int(found[i]), places[i]
+                    if best[at] < 0 or len(array.string(k).decode()) > len(array.string(int(best[at])).decode()):
+                        best[at] = k
+            names = [array.string(int(k)).decode() if k >= 0 else None for k in best]
+            verdicts = [default if k < 0 else "block" if array.actions[k] else "allow" for k in best]
             cols = [pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "host", "path", "rule", "verdict"])
 
