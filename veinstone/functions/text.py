@@ -22,14 +22,18 @@ def ascii_only(text: Column) -> Column:
 
 
 def cleaned_words(text: Column) -> Column:
-    """The words of an ASCII text without characters that keywords don't have, in their places, case kept.
+    """The words of a text, in their places, case kept; ``NOTHING`` stands for each character that keywords don't have.
 
-    A word of which nothing is left keeps its place as ``NOTHING``. Three passes over the text and one split
-    instead of a regular expression for every word: words of other characters alone are marked first.
+    Words end at white space, question marks and whatever isn't ASCII. One pass over the text and one split instead of
+    a regular expression for every word; a word of other characters alone keeps its place.
     """
-    marked = F.regexp_replace(text, rf"(?<=^|[{SPACE}])[^{KEPT}{SPACE}]+(?=[{SPACE}]|$)", NOTHING)
-    kept = F.regexp_replace(marked, rf"[^{KEPT}{SPACE}{NOTHING}]+", "")
-    return F.array_remove(F.split(kept, f"[{SPACE}]+"), "")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x00-\x7F&&[^{KEPT}{SPACE}?]]", NOTHING)
+    return F.array_remove(F.split(marked, rf"[{SPACE}?\x80-\x{{10FFFF}}]+"), "")
+
+
+def cleaned_word(word: Column) -> Column:
+    """A word of ``cleaned_words`` without what stands for other characters."""
+    return F.replace(word, F.lit(NOTHING), F.lit(""))
 
 
 def is_case_sensitive(keyword: Column) -> Column:

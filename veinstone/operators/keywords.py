@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.functions.text import NOTHING, ascii_text, cleaned_words, is_case_sensitive
+from veinstone.functions.text import cleaned_word, cleaned_words, is_case_sensitive
 from veinstone.sources.sinks import materialize
 from veinstone.sources.star import TERMS
 
@@ -13,8 +13,8 @@ from veinstone.sources.star import TERMS
 def tokens(docs: DataFrame) -> DataFrame:
     """``document_id, pos, word``: cleaned words, case kept, with their 1-based places; other columns of ``docs`` but ``text`` stay."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.posexplode(cleaned_words(ascii_text(F.col("text")))).alias("at", "raw"))
-    return rows.select(*rest, (F.col("at") + 1).alias("pos"), F.when(F.col("raw") == NOTHING, "").otherwise(F.col("raw")).alias("word"))
+    rows = docs.select(*rest, F.posexplode(cleaned_words(F.col("text"))).alias("at", "raw"))
+    return rows.select(*rest, (F.col("at") + 1).alias("pos"), cleaned_word(F.col("raw")).alias("word"))
 
 
 #: Rows of terms, of their pairs and of a context up to which they are broadcast (about 100 bytes each).

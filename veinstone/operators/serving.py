@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veinstone.sources.sinks import materialize
+
 
 def top_by(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group, with ``rank``; ``order`` ends in a tie-breaker."""
@@ -75,7 +77,7 @@ def triangulation(ei: DataFrame, em: DataFrame, im: DataFrame) -> DataFrame:
     key = ["company_name", "sector_id", "year", "exposure_path_name"]
 
     def one(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        sums = df.groupBy(*key).agg(F.sum("score").alias("sum"), F.count("*").alias("n"))  # both means come from these
+        sums = materialize(df.groupBy(*key).agg(F.sum("score").alias("sum"), F.count("*").alias("n")))  # both means come from these
         most = W.partitionBy("sector_id", "year")
         company = sums.withColumn("s", F.col("sum") / F.col("n"))
         sector = sums.groupBy(*key[1:]).agg((F.sum("sum") / F.sum("n")).alias("s"))

@@ -209,6 +209,7 @@ XML = (
     + " || '</HEADER>' || chr(10) || '<ITEMS>' || chr(10) || items || '</ITEMS>' || chr(10) || '</Document>'"
 )
 ITEM_XML = "'<ITEM' || item || '>' || " + xml_tag("X", "section").removeprefix("'<X>' || ").removesuffix(" || '</X>' || chr(10)") + " || chr(10) || '</ITEM' || item || '>' || chr(10)"
+COMPANIES = "SELECT document_id, company_id FROM docs LEFT JOIN (SELECT company_name, year, row_number() OVER (ORDER BY company_name, year) + 1000 AS company_id FROM (SELECT DISTINCT company_name, year FROM docs WHERE year % 2 = 0)) USING (company_name, year)"
 RISK = f">Item(?:\\s|&#160;|&nbsp;)(?:{RISK_ITEMS})\\.?|ITEM\\s(?:{RISK_ITEMS})"
 WIDE = ", ".join(f"md5(max(section) FILTER (item = '{i}')) AS form_item{i.lower()}" for i in ("0", *ITEMS))
 SELECTS: dict[str, str] = {
@@ -265,7 +266,7 @@ SELECTS: dict[str, str] = {
     "chart_triangulation": f"SELECT {KEY}, {six(*TRI)} FROM tri",
     "avg_rank_pathways": "SELECT company_name, exposure_path_name, max(r) AS average_rank, count(*) AS n FROM (SELECT company_name, exposure_path_name, rank() OVER (PARTITION BY company_name ORDER BY exposure_path_name) + (count(*) OVER (PARTITION BY company_name, exposure_path_name) - 1) / 2 AS r FROM exposures) GROUP BY ALL",
     "score_pct_change": "SELECT * FROM changes",
-    "complete_changes": "SELECT * FROM changes WHERE year >= 2017 AND score IS NOT NULL AND pct_change IS NOT NULL",
+    "complete_companies": f"SELECT * FROM ({COMPANIES}) JOIN (SELECT * EXCLUDE text FROM docs) USING (document_id) WHERE company_id IS NOT NULL AND year >= 2016",
     "dash_rounded": f"SELECT * REPLACE (round_even(score, 2) AS score) FROM ({averages('exposures', 'company_name, year, content_type, esg_category_name, exposure_path_name', 'content_type = 1')})",
     "mit_exp_sector_norm": "SELECT document_id, sector_id, year, term_id1, term_id2, mitigation_term_id, round(score, 6) AS score, round(score * 100 / max(score) OVER (PARTITION BY sector_id, year), 6) AS score_normalized FROM mit_exp JOIN d USING (document_id)",
     "document_upsert": "SELECT document_id, company_name, year, sector_id, " + ", ".join(f"CASE WHEN document_id % 7 = 0 THEN 0 ELSE {n} END AS {n}" for n in Q.STAGES) + ", CAST(CASE WHEN document_id % 7 = 0 THEN 8 ELSE 7 END AS INT) AS batch_id FROM staged",
@@ -273,7 +274,7 @@ SELECTS: dict[str, str] = {
     "gated_worklists": " UNION ALL ".join(f"SELECT '{n}' AS stage, document_id FROM staged WHERE {n} = 0 AND " + " AND ".join(f"{x} = 1" for x in needs) for n, needs in U.NEEDS.items()),
     "validation_states": "SELECT document_id, " + ", ".join(f"{f}_before" for f in U.FLAGS) + ", " + ", ".join(f"CAST(CASE WHEN {f}_before IN (0, 2) AND {f}_search = 0 THEN 1 ELSE {f}_before END AS INT) AS {f}_validation" for f in U.FLAGS) + " FROM (SELECT *, CAST(CASE WHEN document_id % 4 = 0 THEN 2 ELSE exposure_validation END AS INT) AS exposure_before, internalization_validation AS internalization_before, CAST(CASE WHEN document_id % 10 = 0 THEN 0 ELSE mitigation_validation END AS INT) AS mitigation_before FROM staged)",
     "pending_sources": "SELECT document_id AS id, company_name || ' ' || year || ' ' || document_type || '.txt' AS document_name, ['pdf', 'webpage', 'file'][document_id % 3 + 1] AS source_type, 'https://example.org/' || document_id AS source_url FROM docs JOIN types USING (content_type) WHERE document_id % 4 = 0",
-    "company_ids": "SELECT document_id, company_id FROM docs LEFT JOIN (SELECT company_name, year, row_number() OVER (ORDER BY company_name, year) + 1000 AS company_id FROM (SELECT DISTINCT company_name, year FROM docs WHERE year % 2 = 0)) USING (company_name, year)",
+    "company_ids": COMPANIES,
     "unmapped_documents": "SELECT document_id, sector_id FROM docs WHERE sector_id = 3",
     "filings_by_industry": "SELECT document_id, sic_code, industry_title, company_name FROM (SELECT *, sector_id + 1000 AS sic_code FROM docs WHERE year = 2016 AND content_type = 2 AND document_id % 4 = 1) JOIN (" + values(Q.INDUSTRIES, "sic_code, industry_title") + ") USING (sic_code) WHERE industry_title LIKE 'Oil%'",
     "sector_companies": "SELECT DISTINCT company_name FROM docs JOIN sectors USING (sector_id) WHERE sector_name = 'Finance'",
@@ -289,7 +290,7 @@ SELECTS: dict[str, str] = {
     "archived_documents": "SELECT document_id, length(text) AS n_chars, md5(text) AS text_md5 FROM docs",
     "document_pages": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS INT) AS page, length(coalesce(text, '')) AS n_chars FROM conversations",
     "report_exposure_all": "SELECT sector_id, company_name, year, document_id, content_type, esg_category_name, exposure_path_id, exposure_path_name, count(*) AS cluster_count, round(avg(score_normalized), 6) AS score_normalized, document_type FROM exposures JOIN types USING (content_type) GROUP BY ALL",
-    "exposure_read": "SELECT *, CAST(row_number() OVER (ORDER BY score_normalized DESC, document_id, exposure_path_id) AS INT) AS rank FROM (SELECT company_name, year, document_id, exposure_path_id, cluster_count, round(s * 100 / max(s) OVER (PARTITION BY document_id), 6) AS score_normalized FROM (SELECT company_name, year, document_id, content_type, exposure_path_id, count(*) AS cluster_count, avg(score) AS s FROM exposures GROUP BY ALL) WHERE company_name = 'src1' AND content_type = 1)",
+    "exposure_read": "SELECT *, CAST(row_number() OVER (ORDER BY score_normalized DESC, document_id, exposure_path_id) AS INT) AS rank FROM (SELECT company_name, year, document_id, exposure_path_id, cluster_count, round(s * 100 / max(s) OVER (PARTITION BY document_id), 6) AS score_normalized FROM (SELECT company_name, year, document_id, content_type, exposure_path_id, count(*) AS cluster_count, avg(score) AS s FROM exposures GROUP BY ALL) WHERE company_name = 'src1' AND content_type = 2)",
     "sector_exposure_read": f"SELECT esg_category_name, exposure_path_name, cluster_count, score_normalized FROM ({stats('exposures', 'esg_category_name, exposure_path_id, exposure_path_name')}) JOIN sectors USING (sector_id) WHERE year = 2016 AND sector_name = 'Finance'",
     "sector_internalization_read": f"SELECT esg_category_name, exposure_path_name, internalization_name, cluster_count, score_normalized FROM ({stats('exp_int_rows', 'esg_category_name, exposure_path_name, internalization_name')}) JOIN sectors USING (sector_id) WHERE year = 2016 AND sector_name = 'Finance'",
     "sector_mitigation_read": f"SELECT esg_category_name, exposure_path_name, internalization_name, class_name, sub_class_name, cluster_count, score_normalized FROM ({stats('(SELECT r.*, class_name, sub_class_name FROM exp_int_mit_rows r JOIN terms t ON r.mitigation_term_id = t.term_id JOIN mitigation m ON t.dictionary_id = m.dictionary_id)', 'esg_category_name, exposure_path_name, internalization_name, class_name, sub_class_name')}) JOIN sectors USING (sector_id) WHERE year = 2016 AND sector_name = 'Finance'",

@@ -757,7 +757,7 @@ def report_exposure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def exposure_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One company's report rows of a kind of document, by score."""
-    rows = rounded(A.report_exposure(exposures(spark, sf_dir)).filter("company_name = 'src1' AND content_type = 1"))
+    rows = rounded(A.report_exposure(exposures(spark, sf_dir)).filter("company_name = 'src1' AND content_type = 2"))
     order = [F.desc("score_normalized"), F.col("document_id"), F.col("exposure_path_id")]
     return V.top_by(rows.select("company_name", "year", "document_id", "exposure_path_id", "cluster_count", "score_normalized"), ["company_name"], order, 1 << 30)
 
@@ -814,9 +814,9 @@ def top10_versus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def complete_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of scores from 2017 on, without rows that lack any value."""
-    return V.complete(score_pct_change(spark, sf_dir), F.col("year") >= 2017)
+def complete_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from 2016 on with their company's id, without rows that lack any value."""
+    return V.complete(company_ids(spark, sf_dir).join(star.documents(spark, sf_dir, text=False), "document_id"), F.col("year") >= 2016)
 
 
 @query
