@@ -1,7 +1,11 @@
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from veinstone.llm.queries import vocabulary
+
 try:
     import corpus_pipeline
 except ModuleNotFoundError:
@@ -61,3 +65,56 @@ def test_run(spark):
     for parts in left.values():
         assert sum(n for _, n, _ in parts) == parts[0][2]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_against_a_plain_run(spark):
+    """The stages over a whole table against plain code: kept rows, texts and ids."""
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_joins_warc_language import plain_set
+    from tests.llm.test_native import plain_decontaminate, plain_spans
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    frame = {}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = frame[name] = spark.createDataFrame(f(spark, docs, sf).collect(), docs.schema)
+    got = {n: {r["doc_id"]: r["text"] for r in df.collect()} for n, df in frame.items()}
+
+    letters = lambda t: bool(t) and any(map(str.isalpha, t))
+    assert got["language"].items() <= rows.items() and all(letters(t) for t in got["language"].values())
+    assert len(got["language"]) >= 0.95 * sum(letters(t) for t in rows.values())
+
+    sets, group = {i: plain_set(t) for i, t in got["language"].items()}, {i: i for i in got["language"]}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    kept = {i: t for i, t in got["language"].items() if group[i] == i}
+    assert got["near_duplicates"] == kept
+
+    kept = {i: t for i, t in kept.items() if not plain_decontaminate(t, items)[1]}
+    assert got["decontamination"] == kept
+
+    def redacted(t):
+        out, at = "", 0
+        for s, _, e in plain_spans(t):
+            if s >= at:
+                out += t[at:s] + "[SECRET]"
+            at = max(at, e)
+        return out + t[at:]
+
+    kept = {i: redacted(t) for i, t in kept.items()}
+    assert got["secrets"] == kept
+
+    tokens = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.packing(spark, docs, sf).collect()
+    packed = {i: np.array([*tokens.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in kept.items()}
+    assert {r["doc_id"] for r in pieces} == set(kept)
+    for i, ids in packed.items():
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == [0, *np.cumsum([r["length"] for r in own])[:-1].tolist()] and sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids) for r in own)
