@@ -139,7 +139,7 @@ def test_warc_round_trip(spark, size, least):
     for i, _, h in rows:
         if i is not None:
             first[h or ""] = min(i, first.get(h or "", i))
-    want, name = Counter(), lambda i: f"<urn:x-page:{'null' if i is None else i}>"
+    want, name = Counter(), lambda i: "<urn:x-page-without-id>" if i is None else f"<urn:x-page:{i}>"
     for i, _, h in rows:
         h = h or ""
         data = h.encode()
@@ -256,3 +256,12 @@ def test_filters_against_plain_sets():
             assert (langs[i], scores[i]) == ("und", 0.0)
         elif sorted(plain)[-1] > sorted(plain)[-2] + 0.02 * len(own):
             assert langs[i] == list(texts)[int(np.argmax(plain))] and abs(scores[i] - max(plain) / len(own)) < 0.02
+
+
+def test_warc_ids_of_any_text(spark):
+    ids = ["a\r\nWARC-Type: x", "null", None, "", "é >b", "<urn:x-page:1>", "100%", "a+b c"]
+    rows = [(x, f"http://h/{i}", "same" if i % 2 else f"own {i}") for i, x in enumerate(ids)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(ids) and all(r["digest_ok"] in (True, None) for r in got)
+    first = min(x for i, x in enumerate(ids) if i % 2 and x is not None)
+    assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(x, first) for i, x in enumerate(ids) if i % 2 and x != first}

@@ -41,7 +41,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     """Writes a record for each row to uncompressed archives in the folder ``path``, one for each task.
 
     Of equal payloads of at least ``least`` bytes the one with the smallest id is a response, the others are revisits
-    of it; smaller payloads are all responses. A null payload is empty. Rows that share the smallest id and the payload
+    of it; smaller payloads are all responses. Ids are written URL-encoded. A null payload is empty. Rows that share the smallest id and the payload
     are all responses, and so are rows of a payload that has null ids only. A null URL writes no target.
 
     Only digests are shuffled, aggregated before; payloads stay where they are read if the duplicates' first ids are
@@ -59,7 +59,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_
     again = F.coalesce(again, F.lit(False))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("n").cast("string")), F.lit("\r\n"))
-    name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:x-page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:x-page-without-id>"))
     block = F.concat(F.col("http"), F.when(F.col("again"), F.lit("")).otherwise(F.col("payload")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), line("WARC-Record-ID", name(F.col("id"))), line("WARC-Date", F.lit(date)),
@@ -241,6 +241,6 @@ def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id") -> Dat
     ``id_col, payload_bytes, payload_digest, record_type, refers_to`` of each record, with ``digest_ok``."""
     path = shared_dir(pages.sparkSession)
     write_warc(pages, path, least, id_col)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:x-page:(.*)>$', 1) AS {kind})")
+    number = lambda c: F.expr(f"CASE WHEN startswith({c}, '<urn:x-page:') THEN try_cast(url_decode(regexp_extract({c}, '^<urn:x-page:(.*)>$', 1)) AS {kind}) END")
     kind = pages.schema[id_col].dataType.simpleString()
     return read_warc(pages.sparkSession, path).select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to"), "digest_ok")
