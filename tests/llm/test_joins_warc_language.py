@@ -173,6 +173,7 @@ def test_range_edges_many_decoys():
 def test_warc_cut_off_and_empty(spark):
     path = shared_dir(spark)
     warc.write_warc(spark.createDataFrame([(i, "u", "payload " * 50 + str(i)) for i in range(20)], "page_id long, url string, html string").coalesce(1), path)
+    assert warc.broken(spark, path, warc.read_warc(spark, path, range_bytes=700)).isEmpty()
     local = path.removeprefix("file:")
     local = "/" + local.lstrip("/")
     part = next(os.path.join(local, f) for f in os.listdir(local) if f.startswith("part-"))
@@ -183,8 +184,13 @@ def test_warc_cut_off_and_empty(spark):
             os.remove(os.path.join(local, f))
     with open(part, "wb") as f:
         f.write(data[: len(data) // 2])
-    n = warc.read_warc(spark, path, range_bytes=700).count()
-    assert 5 < n < 15
+    got = warc.read_warc(spark, path, range_bytes=700)
+    last = max(r["end"] for r in got.collect())
+    assert 5 < got.count() < 15
+    assert [(r["length"], r["end"]) for r in warc.broken(spark, path, got).collect()] == [(len(data) // 2, last)] and 0 < last < len(data) // 2
+    with open(part, "wb") as f:
+        f.write(b"no archive")
+    assert [(r["length"], r["end"]) for r in warc.broken(spark, path, warc.read_warc(spark, path)).collect()] == [(10, 0)]
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 

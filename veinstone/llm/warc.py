@@ -183,11 +183,11 @@ def reached(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFra
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_bytes: int = RANGE) -> DataFrame:
-    """A row for each record that a chain reaches: ``path, offset, record_type, record_id, refers_to_id, target_uri,
+    """A row for each record that a chain reaches: ``path, offset, end`` (where the next one starts), ``record_type, record_id, refers_to_id, target_uri,
     payload_bytes, payload_digest`` (bare base32 SHA-1), ``digest_ok`` (what is stored has that digest; null for revisits),
     ``payload`` if asked for.
 
-    A file that is cut off gives the records up to there. Files are read by ranges of ``range_bytes`` with pyarrow's file
+    A file that is cut off gives the records up to there; ``broken`` names such files. Files are read by ranges of ``range_bytes`` with pyarrow's file
     systems; a task holds one range and one record. Headers may be of any length. An empty folder's files give no rows.
     """
 
@@ -220,7 +220,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_
                             n = next((int(x[15:]) for x in http.split(b"\r\n") if x[:15].lower() == b"content-length:"), 0)
                         else:
                             own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        values = (row["path"], at, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), n, digest or own, None if revisit else own == (digest or own), payload)
+                        values = (row["path"], at, after, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), n, digest or own, None if revisit else own == (digest or own), payload)
                         for name, value in zip(schema.names, values, strict=False):
                             made[name].append(value)
                         if len(made["path"]) >= BATCH or with_payload and len(payload) > 1 << 22:
@@ -229,13 +229,22 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False, range_
                         at = after
                 yield pa.RecordBatch.from_pydict(made, schema=schema)
 
-    fields = [("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())]
+    fields = [("path", pa.string()), ("offset", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_ok", pa.bool_())]
     schema = pa.schema(fields + [("payload", pa.binary())] * with_payload)
-    sql = "path string, offset long, record_type string, record_id string, refers_to_id string, target_uri string, payload_bytes long, payload_digest string, digest_ok boolean" + ", payload binary" * with_payload
+    sql = "path string, offset long, end long, record_type string, record_id string, refers_to_id string, target_uri string, payload_bytes long, payload_digest string, digest_ok boolean" + ", payload binary" * with_payload
     starts = reached(spark, path, range_bytes)
     return starts.repartition(_tasks(starts.dropDuplicates(["path"]), range_bytes), "path", "offset").mapInArrow(records, sql)
 
 
+def broken(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """``path, length, end`` of the archives below ``path`` whose chain of ``records`` (of ``read_warc``) stops at ``end``, before
+    the file does: what lies behind wasn't read. Whole and empty files give no row; one without any record ends at 0.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ends = records.groupBy("path").agg(F.max("end").alias("end"))
+    return files.join(ends, "path", "left").select("path", "length", F.coalesce("end", F.lit(0).cast("long")).alias("end")).filter("end < length")
+
+
 def round_trip(pages: DataFrame, least: int = 0, id_col: str = "page_id") -> DataFrame:
     """Writes ``pages`` to archives in the shared folder, reads them and returns
     ``id_col, payload_bytes, payload_digest, record_type, refers_to`` of each record, with ``digest_ok``."""
