@@ -271,3 +271,13 @@ def test_warc_ids_of_any_text(spark):
     assert Counter(r["page_id"] for r in got) == Counter(ids) and all(r["digest_ok"] in (True, None) for r in got)
     first = min(x for i, x in enumerate(ids) if i % 2 and x is not None)
     assert {(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"} == {(x, first) for i, x in enumerate(ids) if i % 2 and x != first}
+
+
+def test_rows_of_copies_are_spread(spark):
+    """One text has all rows: no range gets much more of them than another, and all come back."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'one two three four five six' AS text").repartition(3)
+    rows = jaccard_join._rows(docs, "doc_id", "text", 5, 40, 1000).filter(f"kind = {jaccard_join.DOC}")
+    sizes = [r["count"] for r in rows.groupBy("group").count().collect()]
+    assert len(sizes) == 40 and sum(sizes) == 4000 and max(sizes) <= 104
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4000)) and {(r["n_shingles"], r["component_id"]) for r in got} == {(2, 0)}

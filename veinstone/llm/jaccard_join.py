@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,7 +189,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, np.ndarray] = {}
-        held = 0
+        held, turn = 0, TaskContext.get().partitionId() * 7919
 
         def flush() -> Iterator[pa.RecordBatch]:
             for row in _packed(list(sets.values()), list(sets), ranges):
@@ -203,7 +204,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, size: int, ranges: int, c
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in made]
                 fixed = {"kind": DOC, "group": 0, "chunk": 0, "a": None, "b": None, "c": None}
                 columns = [pa.array([x] * len(made), schema.field(n).type) for n, x in fixed.items()]
-                columns[1] = pa.array([d[0] % ranges for d in digests], pa.int32())
+                # rows of documents ride along with any range, in turn, so that a group of copies makes no large one
+                columns[1] = pa.array((np.arange(len(made)) + turn) % ranges, pa.int32())
+                turn += len(made)
                 yield pa.RecordBatch.from_arrays([*columns, part.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in made], pa.int32())], schema=schema)
                 for digest, s in zip(digests, made, strict=True):
                     if len(s) and digest not in sets:
