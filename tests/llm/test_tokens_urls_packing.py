@@ -157,3 +157,19 @@ def test_url_rules_of_very_many_lengths(spark):
     rows = [(n, f"http://a.org/{'p' * n}{'q' * (n % 2)}") for n in (0, 1, 2, 700, 1999, 2500)]
     got = {r["page_id"]: r["rule"] for r in url_filters.url_filters(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert got == {n: "a.org/" + "p" * min(n, 1999) for n, _ in rows}
+
+
+def test_urls_of_very_long_hosts(spark):
+    long = "http://" + "a." * 400_000
+    urls = [long + "org/x", long + "example.org/en/12", long + "org", long, "http://" + "." * 400_000 + "com/de/", "http://" + "b" * 800_000 + ".com/fr/1", "http://example.org" + "/es" * 300_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.url_filters(df, URL_RULES).select("page_id", "rule", "verdict").collect()}
+    assert [got[i] for i in range(7)] == [("org/", "allow"), ("example.org/en/1", "block"), (None, "allow"), (None, "allow"), ("com/de/", "block"), ("com/fr/", "allow"), ("example.org/es/", "block")]
+
+
+@pytest.mark.parametrize("longest", [0, 3, 6, 100])
+def test_candidates_up_to_a_length(longest):
+    for host in ("", "a", ".a", "a.", "a..b", "ab.c.de", "abc.de.f.", "..."):
+        ends = [host[i:] for i in range(len(host)) if not i or host[i - 1] == "."]
+        want = [(h + "/xyz"[:n]).encode() for h in ends for n in (3, 1, 0) if len(h) + n <= longest]
+        assert list(url_filters.candidates(host, "/xyz", [0, 1, 3, 9], longest)) == want

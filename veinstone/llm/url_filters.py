@@ -35,7 +35,7 @@ class DigestArray:
 
     def __init__(self, stem: str):
         read = lambda name: np.load(f"{stem}.{name}.npy", mmap_mode="r")
-        self.keys, self.actions, self.ends, self.text, self.lengths = map(read, ("keys", "actions", "ends", "text", "lengths"))
+        self.keys, self.actions, self.ends, self.text, self.lengths, self.longest = map(read, ("keys", "actions", "ends", "text", "lengths", "longest"))
 
     def string(self, i: int) -> bytes:
         return self.text[int(self.ends[i - 1]) if i else 0 : int(self.ends[i])].tobytes()
@@ -75,6 +75,7 @@ def build(rules: Sequence[tuple[str, str, str]], folder: str) -> tuple[str, list
         "ends": np.cumsum([len(s) for s in order], dtype=np.int64) if order else np.empty(0, np.int64),
         "text": np.frombuffer(b"".join(order), np.uint8),
         "lengths": np.array(sorted(lengths), np.int64),
+        "longest": np.array([max((len(s.decode()) for s in order), default=0)], np.int64),
     }
     stem = xxhash.xxh64_hexdigest(b"".join(x.tobytes() for x in parts.values()))
     files = [os.path.join(folder, f"{stem}.{name}.npy") for name in parts]
@@ -94,26 +95,22 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_FOLD), path
 
 
-def candidates(host: str, path: str, lengths: Sequence[int]) -> Iterator[bytes]:
-    """Strings of all rules that would fit, the longest host first, for one host the longest path first."""
-    if not host:
-        return
-    hosts, at = [host], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    for h in hosts:
-        if h:
-            yield from ((h + path[:n]).encode() for n in reversed(lengths) if n <= len(path))
+def candidates(host: str, path: str, lengths: Sequence[int], longest: int) -> Iterator[bytes]:
+    """Strings of all rules of up to ``longest`` characters that would fit, the longest host first, for one host the longest path first."""
+    start = 0 if len(host) <= longest else host.find(".", len(host) - longest - 1) + 1 or len(host)
+    while start < len(host):
+        room = longest - (len(host) - start)
+        yield from ((host[start:] + path[:n]).encode() for n in reversed(lengths) if n <= len(path) and n <= room)
+        start = host.find(".", start) + 1 or len(host)
 
 
-def _asked(split: list[tuple[str, str]], lengths: Sequence[int]) -> Iterator[tuple[list[int], list[bytes]]]:
+def _asked(split: list[tuple[str, str]], lengths: Sequence[int], longest: int) -> Iterator[tuple[list[int], list[bytes]]]:
     """The candidates of URLs with their places, about ``BATCH_BYTES`` at a time."""
     places: list[int] = []
     strings: list[bytes] = []
     held = 0
     for i, (host, path) in enumerate(split):
-        for s in candidates(host, path, lengths):
+        for s in candidates(host, path, lengths, longest):
             places.append(i)
             strings.append(s)
             held += len(s)
@@ -131,7 +128,8 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
     ``default``: the array has no entry for the URL. A null URL, or one without ``://``, has an empty host and fits
     no rule. One row for each row, repeated ones and null ids included, no shuffle; other columns are ignored. An empty
     table gives no rows. The rules' files are mapped, not loaded: executors need disk for them, and pages of what they probe.
-    Candidates of a batch are looked up ``BATCH_BYTES`` at a time, so long URLs and many path lengths take time, not memory.
+    Candidates of a batch are looked up ``BATCH_BYTES`` at a time, so many path lengths take time, not memory. Of a host only
+    the end that is as long as the longest rule is looked at.
     """
     folder = tempfile.mkdtemp(prefix="rules-")  # on the driver, which sends the files to executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -147,11 +145,11 @@ def url_filters(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default
             _open.clear()
             _open[stem] = DigestArray(SparkFiles.get(stem))
         array = _open[stem]
-        lengths = array.lengths.tolist()
+        lengths, longest = array.lengths.tolist(), int(array.longest[0])
         for batch in batches:
             split = [split_url(u.as_py()) for u in batch.column(1)]
             best = np.full(len(split), -1, np.int64)
-            for places, strings in _asked(split, lengths):
+            for places, strings in _asked(split, lengths, longest):
                 found = array.find(strings)
                 for i in np.flatnonzero(found >= 0).tolist():
                     k, at = int(found[i]), places[i]
