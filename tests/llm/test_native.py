@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veinstone.llm import decontamination, quality_rules, secret_scan
+from veinstone.llm import common, decontamination, quality_rules, secret_scan
 from veinstone.llm.trigrams import ANY, trigram_query
 
 DOCS = "doc_id long, text string, n_words string, items string"
@@ -240,3 +240,15 @@ def test_trigram_queries(pattern, yes, no):
         assert q == ANY
     else:
         assert not holds(no)
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 4)
+    df = spark.createDataFrame([("a", 1), ("b", 4), ("c", 5), ("d", 13)], "x string, n long")
+    got = sorted((r["x"], r["at"]) for r in common.copied(df, "n", "at").collect())
+    assert got == [(x, i) for x, n in (("a", 1), ("b", 4), ("c", 5), ("d", 13)) for i in range(1, n + 1)]
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, words)] * 11 + [(None, "")] * 9 + [(1, words)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, words)], "item_id long, text string")
+    rows = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontamination.decontaminate(docs, items).collect()]
+    assert sorted(rows, key=str) == sorted([(None, 12, 12, 1, True)] * 11 + [(None, 0, 0, 0, False)] * 9 + [(1, 12, 12, 1, True)], key=str)

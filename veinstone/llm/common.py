@@ -59,6 +59,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Copies of a row that one array makes.
+COPIES = 1 << 16
+
+
+def copied(df: DataFrame, n: str, at: str) -> DataFrame:
+    """Each row of ``df`` (which is read twice) as often as its column ``n`` says, numbered from 1 in ``at``. Rows with more than
+    ``COPIES`` are dealt out to all tasks in blocks of so many."""
+    few = df.filter(F.col(n) <= COPIES).withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+    last = F.floor((F.col(n) - 1) / COPIES).cast("long")
+    blocks = df.filter(F.col(n) > COPIES).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = blocks.withColumn(at, F.explode(F.sequence(F.col(at) * COPIES + 1, F.least((F.col(at) + 1) * COPIES, F.col(n).cast("long")))))
+    return few.unionByName(many)
+
+
 def release() -> None:
     """Gives memory that Arrow and the C library hold back to the system: Python workers outlive their tasks and share an executor's limit."""
     pa.default_memory_pool().release_unused()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import LOWER, UPPER, materialize
+from veinstone.llm.common import LOWER, UPPER, copied, materialize
 
 #: What separates words in a text whose A-Z have not been lower-cased yet.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -135,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     # several sizes of shingles give several rows for a document: each has no key, and all are divided out
     each = len(ks) if few else 1
     hit = F.when(F.col("start").isNotNull(), F.struct("start", "len", "wid"))
-    made = rows.groupBy("id", "print", "n_words").agg((F.count_if(F.col("start").isNull()) / F.lit(each)).cast("int").alias("copies"), F.collect_set(hit).alias("hits"))
+    made = rows.groupBy("id", "print", "n_words").agg((F.count_if(F.col("start").isNull()) / F.lit(each)).cast("long").alias("copies"), F.collect_set(hit).alias("hits"))
     made = materialize(made.withColumn("wids", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["wid"])))).withColumn("named", F.when(F.size("wids") > 0, F.md5(F.array_join("wids", ",")))))
     # the items of each different set of windows
     sets = made.filter("named IS NOT NULL").groupBy("named").agg(F.first("wids").alias("wids")).select("named", F.explode("wids").alias("wid"))
@@ -143,8 +143,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     named = materialize(named.select(F.col("named").alias("set"), "items", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")))
     n_sets, n_ids = named.agg(F.count("*"), F.sum("n_items")).first()
     named = F.broadcast(named) if n_sets <= BROADCAST_SETS and (n_ids or 0) <= BROADCAST_IDS else named
-    made = made.withColumn("n_hit", covered(F.col("hits")).cast("long")).join(named, F.col("named") == F.col("set"), "left")
-    made = made.select(F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"), "*")
+    made = copied(made, "copies", "copy").withColumn("n_hit", covered(F.col("hits")).cast("long")).join(named, F.col("named") == F.col("set"), "left")
     return made.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),

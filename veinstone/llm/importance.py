@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.common import materialize
+from veinstone.llm.common import copied, materialize
 from veinstone.llm.shingles import _BASE, _FOLD, _powers, mix
 
 #: Buckets of n-grams, bytes that are hashed together, bins of a histogram, and ids of good documents up to which they are broadcast.
@@ -150,11 +150,10 @@ def importance_resampling(docs: DataFrame, labels: DataFrame, k: int | None = No
     kind = docs.schema[id_col].dataType.simpleString()
     weighed = rows.select("text", "id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")).mapInArrow(weigh, f"id {kind}, print long, n_grams long, log_weight double")
     copies = weighed.groupBy("id", "print", "n_grams").agg(F.first("log_weight").alias("log_weight"), F.count("*").alias("copies"))
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "print", "copy")
     even = (F.shiftrightunsigned("draw", 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     key = F.when(F.col("n_grams") > 0, F.col("log_weight") - F.log(-F.log(even)))
-    made = materialize(copies.withColumn("draw", draw).select("id", "n_grams", "log_weight", "draw", key.alias("gumbel_key")))
+    made = copied(materialize(copies), "copies", "copy").withColumn("draw", draw).select("id", "n_grams", "log_weight", "draw", key.alias("gumbel_key"))
 
     held = made.filter("gumbel_key IS NOT NULL")
     n = held.count()
