@@ -26,7 +26,7 @@ CELLS, PROBES = 1 << 20, 2
 #: About how many learning texts of each language, the least frequency of an n-gram, and how much rarer than elsewhere it may be.
 MAX_TEXTS, LEAST_FREQUENCY, LEAST_RATIO = 3000, 2e-5, 0.2
 #: Characters that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -174,6 +174,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 for bit in np.unique(lang):
                     grams, n = np.unique(hashes[lang == bit], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), bit)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        release()
 
     grams = sample.select("text", "lang").mapInArrow(counted, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
